@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +42,55 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def pieces(rows: int, each: int) -> int:
     """Number of groups of about `each` rows, one at least."""
     return max(1, -(-rows // each))
+
+
+def bit_filter(ids: DataFrame, column: str, bits: int = 1 << 22):
+    """A test for columns that may hold one of the ids: fixed size, no misses.
+
+    Ids are hashed into `bits` bits, which every task gets as one array of
+    bits / 64 longs - 512 KB, whatever the input. It lets through all of the ids
+    and of the other rows the share of bits set, so it only saves shuffling; an
+    exact join has to follow.
+    """
+    spark = ids.sparkSession
+    h = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    words = ids.select(F.floor(h / 64).cast("long").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    filled = spark.range(0, bits // 64, 1, 1).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")).unionAll(words)
+    filled = filled.groupBy("w").agg(F.bit_or("b").alias("b"))
+    array = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("a")).scalar()
+
+    def test(col):
+        k = F.pmod(F.xxhash64(col), F.lit(bits))
+        word = F.get(array, F.floor(k / 64).cast("int"))
+        return F.call_function("shiftright", word, F.pmod(k, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
+def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """node, component (its least reachable node) for the nodes of edges (a, b).
+
+    Alternating large-star and small-star rounds. Least neighbours are
+    aggregated before they are shuffled, so a hub's edges never meet in one
+    task; each round is written to the shared folder.
+    """
+    now = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
+    same = ("count(*) AS n", "coalesce(sum(cast(xxhash64(u, v) AS decimal(38, 0))), 0) AS s")
+    before = now.selectExpr(*same).first()
+    for _ in range(most_rounds):
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        now = materialize(small, "edges")
+        after = now.selectExpr(*same).first()
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"components are not stable after {most_rounds} rounds")
+    members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.unionAll(members.select(F.col("component").alias("node"), "component").distinct())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate",)
+MODULES = ("decontaminate", "minhash")
 
 
 def _all(name: str) -> dict:
