@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "minhash")
+MODULES = ("decontaminate", "minhash", "token_counts", "packing")
 
 
 def _all(name: str) -> dict:
