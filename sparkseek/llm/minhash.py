@@ -4,14 +4,19 @@ A signature has CHUNKS x WIDTH values of 16 bits, one for each hash function.
 Two signatures that differ in at most T = 2 * CHUNKS - 1 values differ in at most
 one value of some chunk (pigeonhole), so each chunk is indexed under WIDTH keys,
 one for each value left out: documents within T always share a key. At a
-similarity of 0.8 the signatures differ in 12 of 60 values on average, and two
-documents fail to share a key with a chance of about 2e-5.
+similarity of 0.8 the signatures differ in 19 of 96 values on average (T is 23),
+and two documents fail to share any key with a chance of about 2e-4.
 
 Whole classes of equal word sequences are one node. Candidates are confirmed on
-their full shingle sets (64-bit hashes of the shingles). To keep large groups of
-near copies linear, each key first offers only pairs with its least document;
-what those links already put into one component needs no further pair, and only
-pairs from different components of a key are compared after that.
+their full shingle sets (64-bit hashes of the shingles). Groups of near copies
+stay linear:
+
+* a key offers pairs of its PIVOTS members only - the least of each of as many
+  hash classes - with all of its members;
+* what these links already put into one component needs no further pair;
+* the members that are left outside a key's largest component are compared with
+  the rest of the key, in blocks of bounded size, and of the pairs within reach
+  of the threshold each is passed on under the first key that it shares.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 a null doc_id links with nothing and is its own (null) component; rows that share
@@ -30,10 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import bit_filter, components, materialize, table
 
-CHUNKS, WIDTH, SHINGLE = 10, 6, 5
-#: Candidates whose signatures differ in more values can't be 0.8 alike, but for
-#: a chance under 1e-7 (a mean of 12 and a deviation of 3.1 at 0.8).
-FURTHEST = 30
+CHUNKS, WIDTH, SHINGLE = 12, 8, 5
+PIVOTS = 8
+#: Rows of one key that are compared at once: of those left over, of the others.
+LEFT_BLOCK, RIGHT_BLOCK = 1024, 4096
+#: Signatures of documents 0.8 alike differ in more values than this with a
+#: chance of about 2e-5 (mean 19.2, deviation 3.9).
+FURTHEST = 36
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,7 +147,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    """key, node: each document under its CHUNKS * WIDTH keys."""
+    """key, place, node: each document under its CHUNKS * WIDTH keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +156,10 @@ def _index(nodes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(batch.num_rows, -1)
             keys = keys_of(sig)
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+            place = np.tile(np.arange(keys.shape[1], dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(place), pa.array(node)], names=["key", "place", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, place int, node long")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, furthest: int) -> DataFrame:
@@ -193,6 +202,73 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _left_over(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one key, neither a pivot, in different components."""
+    marked = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = marked.groupBy("key", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("all"), F.max("m").alias("most")).where("most < all")
+    rows = marked.where(~F.array_contains("pivots", F.col("node"))).join(largest, "key").join(nodes.select("node", "sig"), "node")
+    out, h = F.col("component") != F.col("largest"), F.xxhash64("node")
+    n_left, n_right = (F.greatest(F.ceil(F.col(n) / F.lit(k)), F.lit(1)).cast("int") for n, k in (("outside", LEFT_BLOCK), ("all", RIGHT_BLOCK)))
+    rows = rows.withColumn("outside", F.col("all") - F.col("most")).select("key", "place", "node", "component", "largest", "sig", n_left.alias("nl"), n_right.alias("nr"), h.alias("h"), out.alias("out"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("out").withColumn("r", each("nr")).withColumn("l", F.pmod("h", "nl").cast("int")).withColumn("side", F.lit(0))
+    right = rows.withColumn("l", each("nl")).withColumn("r", F.pmod("h", "nr").cast("int")).withColumn("side", F.lit(1))
+    both = left.unionByName(right).select("key", "l", "r", "side", "place", "node", "component", "sig", "out")
+    return both.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_compare, "a long, b long")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted blocks of one key: its pairs within FURTHEST, under their first key."""
+    for block in _runs(batches):
+        side = block["side"].to_numpy()
+        k = int((side == 0).sum())
+        if not 0 < k < len(side):
+            continue
+        node, component, out = (block[c].to_numpy() for c in ("node", "component", "out"))
+        sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint16).reshape(len(side), -1)
+        place = int(block["place"][0].as_py())
+        a, b = [], []
+        for i in range(k):
+            # Pairs of two that are outside come up twice: once is enough.
+            near = np.flatnonzero((component[k:] != component[i]) & (~out[k:] | (node[k:] > node[i]))) + k
+            differ = sig[near] != sig[i]
+            close = differ.sum(axis=1) <= FURTHEST
+            near, differ = near[close], differ[close]
+            if len(near):
+                chunks = differ.reshape(len(near), CHUNKS, WIDTH)
+                errors = chunks.sum(axis=2)
+                first = (errors <= 1).argmax(axis=1)
+                at = np.arange(len(near))
+                value = np.where(errors[at, first] == 1, chunks[at, first].argmax(axis=1), 0)
+                near = near[first * WIDTH + value == place]
+                a.append(np.minimum(node[near], node[i]))
+                b.append(np.maximum(node[near], node[i]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of equal (key, l, r) from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "l", "r")])
+        cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for x, y in zip(edges, edges[1:], strict=False):
+            here = tuple(ids[:, x])
+            if here != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = here
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     sketch = materialize(sketches(docs, shingle), "sketches")
@@ -200,20 +276,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
     nodes = materialize(classes, "nodes")
     index = _index(nodes)
-    heads = index.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = materialize(index.join(heads, "key"), "shared-keys")
-    star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    part = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    least = [F.min(F.when(part == k, F.col("node"))) for k in range(PIVOTS)]
+    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.array_compact(F.array(*least)).alias("pivots")).where("n > 1")
+    shared = materialize(index.join(keys, "key"), "shared-keys")
+    pivot = F.explode(F.array_remove("pivots", F.col("node")))
+    star = shared.select("node", pivot.alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
     star = materialize(_near(star, nodes, FURTHEST), "star-pairs")
     links = materialize(_confirm(star, docs, shingle, percent), "links")
     labels = components(links)
-    # What is left: pairs of one key that the links so far leave in different components.
-    marked = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_keys = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    open_rows = materialize(marked.join(mixed_keys, "key"), "open-keys")
-    x = open_rows.where("node <> head").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = open_rows.where("node <> head").select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(_near(rest, nodes, FURTHEST), "rest-pairs")
+    rest = materialize(_left_over(shared.where("n > 2"), labels, nodes).distinct(), "rest-pairs")
     more = materialize(_confirm(rest, docs, shingle, percent), "links")
     component = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if not more.isEmpty():
