@@ -32,7 +32,7 @@ from .common import materialize, pieces, table
 
 TOKENS = 1024
 END_ID = 2
-GROUP = 16_384
+GROUP = 8_192
 #: Weights of tokens, documents and attention cost: tokens decide.
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
