@@ -10,9 +10,8 @@ A fingerprint is text: the kept hashes in order, 16 hexadecimal digits each.
 
 Defined results: null counts as the empty text, whose fingerprint is '' (alike 1
 to another empty one, 0 to any other); the next document of the last is the
-first; with one document it is its own next; rows that share a doc_id follow each
-other in an order given by their texts' hashes; rows that repeat id and text are
-one document there, and give equal rows.
+first; with one document it is its own next; a null doc_id is the least; rows
+that share a doc_id follow each other in an order given by their texts' hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import table
 
 SCALE = 8
 SHINGLE = 5
@@ -72,49 +71,51 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.when(F.size(low) > 0, low).otherwise(F.slice(every, 1, 1))
 
 
-def following(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows (narrow, already written) with `next`: struct of the row after.
+#: Documents a block: blocks are windows, so this bounds what a task sorts.
+BLOCK_ROWS = 500
+MOST_BLOCKS = 100_000
 
-    In descending order; after the last comes the first. Rows are dealt by ranges
-    of the order and each range finds its own neighbours; only one row a range is
-    looked at to link the ranges.
+
+def in_blocks(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs (with id0, no nulls) dealt into blocks of neighbouring ids, descending.
+
+    The first documents of a block are guests (guest > 0) at the end of the block
+    before, as the very first are at the end of the last. So each block has all
+    that comes after its own rows, and rows are shuffled once.
     """
-    desc = [F.col(c).desc_nulls_last() for c in order]
-    dealt = materialize(rows.repartitionByRange(*desc).withColumn("range", F.spark_partition_id()), "ordered")
-    own = F.lead(F.struct(*order)).over(Window.partitionBy("range").orderBy(*desc))
-    numbered = dealt.withColumn("own", own)
-    # Every column's own order, nulls least: the greatest struct is a range's first row.
-    firsts = dealt.groupBy("range").agg(F.max(F.struct(*order)).alias("first"))
-    ring = Window.orderBy("range")
-    start = F.first("first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    links = firsts.select("range", F.coalesce(F.lead("first").over(ring), start).alias("after"))
-    return numbered.join(links, "range").select(*rows.columns, F.coalesce("own", "after").alias("next"))
+    ids = docs.select("id0")
+    blocks = min(max(1, -(-ids.count() // block_rows)), MOST_BLOCKS)
+    if blocks > 1:
+        shares = F.array(*[F.lit(k / blocks) for k in range(1, blocks)])
+        found = ids.agg(F.array_distinct(F.percentile_approx("id0", shares, max(10_000, 20 * blocks))).alias("c"))
+        cuts = F.coalesce(found.scalar(), F.array().cast("array<bigint>"))
+    else:
+        cuts = F.array().cast("array<bigint>")
+    top = ids.agg(F.max("id0").alias("top")).scalar()
+    placed = docs.withColumn("cuts", cuts).withColumn("top", top)
+    cuts, top = F.col("cuts"), F.col("top")
+    block = F.size(F.filter(cuts, lambda c: c >= F.col("id0")))
+    seats = F.array_compact(
+        F.array(
+            F.struct(F.col("block"), F.lit(0).alias("guest")),
+            F.when(F.array_contains(cuts, F.col("id0")), F.struct((F.col("block") - 1).alias("block"), F.lit(1).alias("guest"))),
+            F.when(F.col("id0") == top, F.struct(F.size(cuts).alias("block"), F.lit(2).alias("guest"))),
+        )
+    )
+    return placed.withColumn("block", block).withColumn("seat", F.explode(seats)).drop("block").select(*docs.columns, "seat.block", "seat.guest").repartition("block")
 
 
 def edited_pairs(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGLE) -> DataFrame:
-    """Each document beside its edited text and its next document's sketch.
-
-    The text is shuffled once, by document; what the edit takes from the next
-    document - a third of a text at most - and that document's sketch follow.
-    """
+    """Each document beside its edited text and its next document's sketch."""
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
-    ids = base.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")).groupBy("doc_id", "h", "n_chars").count()
-    ids = materialize(ids, "ids")
-    repeated = not ids.where("count > 1").isEmpty()
-    ids = ids.drop("count")
-    after = following(ids, ["doc_id", "h"])
-    after = after.select("doc_id", "h", "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
-    sketched = with_sketch(base, "text", "sketch", scale, shingle)
-    of_next = sketched.select(F.col("doc_id").alias("b_id"), F.col("h").alias("b_h"), F.col("text").alias("b_text"), F.col("sketch").alias("b_sketch"))
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    heads = after.join(of_next, (F.col("next_h") == F.col("b_h")) & F.col("next_id").eqNullSafe(F.col("b_id")))
-    heads = heads.select(F.col("doc_id").alias("a_id"), F.col("h").alias("a_h"), "n_chars", F.substring("b_text", F.lit(1), third).alias("head"), F.col("b_sketch").alias("next_sketch"))
-    if repeated:
-        heads = heads.dropDuplicates(["a_id", "a_h"])
-    both = sketched.join(heads, (F.col("h") == F.col("a_h")) & F.col("doc_id").eqNullSafe(F.col("a_id")))
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.col("head"))
-    both = both.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
+    base = base.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id0"), "text")
+    rows = with_sketch(in_blocks(base), "text", "sketch", scale, shingle).withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("block").orderBy("guest", F.desc("id0"), F.desc("h"))
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).where("guest = 0")
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    both = rows.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
     return with_sketch(both.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch", scale, shingle)
 
 
