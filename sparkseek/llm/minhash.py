@@ -302,9 +302,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
     """The documents without all but the least doc_id of each component."""
     found = near_duplicates(docs, shingle, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    return rows.select(*docs.columns)
+    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct(), "near-copies")
+    maybe = bit_filter(gone, "_gone_id")
+    at = F.col("doc_id").cast("long")
+    may = F.coalesce(maybe(at), F.lit(False))
+    return docs.where(~may).unionAll(docs.where(may).join(gone, at == F.col("_gone_id"), "left_anti"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

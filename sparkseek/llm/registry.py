@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "html_text", "minhash", "token_counts", "packing", "quality", "fingerprint", "placement", "warc")
+MODULES = ("decontaminate", "html_text", "minhash", "token_counts", "packing", "quality", "fingerprint", "placement", "warc", "line_dedup")
 
 
 def _all(name: str) -> dict:
