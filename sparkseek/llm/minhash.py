@@ -11,8 +11,9 @@ Whole classes of equal word sequences are one node. Candidates are confirmed on
 their full shingle sets (64-bit hashes of the shingles). Groups of near copies
 stay linear:
 
-* a key offers pairs of its PIVOTS members only - the least of each of as many
-  hash classes - with all of its members;
+* a key offers pairs of two members only with all of its members: of the one that
+  shares the most keys with others, mostly what a group was copied from, and of
+  the least (of up to three members, that is all pairs);
 * what these links already put into one component needs no further pair;
 * the members that are left outside a key's largest component are compared with
   the rest of the key, in blocks of bounded size, and of the pairs within reach
@@ -36,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import bit_filter, components, materialize, table
 
 CHUNKS, WIDTH, SHINGLE = 12, 8, 5
-PIVOTS = 8
 #: Rows of one key that are compared at once: of those left over, of the others.
 LEFT_BLOCK, RIGHT_BLOCK = 1024, 4096
 #: Signatures of documents 0.8 alike differ in more values than this with a
@@ -276,16 +276,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
     nodes = materialize(classes, "nodes")
     index = _index(nodes)
-    part = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    least = [F.min(F.when(part == k, F.col("node"))) for k in range(PIVOTS)]
-    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.array_compact(F.array(*least)).alias("pivots")).where("n > 1")
+    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     shared = materialize(index.join(keys, "key"), "shared-keys")
+    few, many = shared.where("n < 4"), shared.where("n >= 4")
+    # The text that a group's copies were made from shares the most keys with them.
+    weight = many.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = many.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    few = few.select("key", "place", "node", "n", F.array("lo", "hi").alias("pivots"))
+    many = many.join(hubs, "key").select("key", "place", "node", "n", F.array_distinct(F.array("hub", "lo")).alias("pivots"))
+    shared = materialize(few.unionAll(many), "pivots")
     pivot = F.explode(F.array_remove("pivots", F.col("node")))
     star = shared.select("node", pivot.alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
     star = materialize(_near(star, nodes, FURTHEST), "star-pairs")
     links = materialize(_confirm(star, docs, shingle, percent), "links")
     labels = components(links)
-    rest = materialize(_left_over(shared.where("n > 2"), labels, nodes).distinct(), "rest-pairs")
+    rest = materialize(_left_over(shared.where("n > 3"), labels, nodes).distinct(), "rest-pairs")
     more = materialize(_confirm(rest, docs, shingle, percent), "links")
     component = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if not more.isEmpty():
