@@ -216,7 +216,8 @@ class Classifier:
 
     def judged(self) -> DataFrame:
         """doc_id, lang, perplexity, threshold, kept."""
-        out = self.scores.join(self.thresholds, "lang", "left")
+        # A row for each language that has trusted text.
+        out = self.scores.join(F.broadcast(self.thresholds), "lang", "left")
         return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
     def accepted(self, docs: DataFrame) -> DataFrame:
