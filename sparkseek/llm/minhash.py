@@ -27,6 +27,7 @@ a doc_id are one node with several texts; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,14 @@ LEFT_BLOCK, RIGHT_BLOCK = 1024, 4096
 #: chance of about 2e-5 (mean 19.2, deviation 3.9).
 FURTHEST = 36
 
+#: Bits of the parity sketch: of each slot, whether an odd number of a set's
+#: shingles fall into it. Two sets differ in at least as many shingles as their
+#: sketches do in bits, so a pair it turns down can't be alike.
+PARITY = 2048
+VALUES = CHUNKS * WIDTH
+#: A node's record: signature, parity sketch, set size, in units of 16 bits.
+RECORD = VALUES + PARITY // 16 + 4
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,6 +114,32 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def parity_of(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint16)
+
+
+def record_of(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    size = np.array([len(shingles)], np.uint64).view(np.uint16)
+    return np.concatenate([signature(shingles, a, b), parity_of(shingles), size]).tobytes()
+
+
+class Records:
+    """Columns of many records."""
+
+    def __init__(self, blobs):
+        r = np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, RECORD)
+        self.sig = r[:, :VALUES]
+        self.parity = np.ascontiguousarray(r[:, VALUES:-4]).view(np.uint64)
+        self.size = np.ascontiguousarray(r[:, -4:]).view(np.uint64)[:, 0].astype(np.int64)
+
+
+def may_be_alike(parity_x, parity_y, size_x, size_y, percent: int) -> np.ndarray:
+    """Whether so few shingles differ as the similarity allows."""
+    differ = np.bitwise_count(parity_x ^ parity_y).sum(axis=-1, dtype=np.int64)
+    return differ * (100 + percent) <= (size_x + size_y) * (100 - percent)
+
+
 def keys_of(sig: np.ndarray) -> np.ndarray:
     """The WIDTH keys of each chunk: (rows, CHUNKS * WIDTH) from (rows, values)."""
     chunks = sig.reshape(len(sig), CHUNKS, WIDTH).astype(np.uint64)
@@ -137,7 +172,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 d = xxhash.xxh3_128_digest(b" ".join(words))
                 k1.append(int.from_bytes(d[:8], "little", signed=True))
                 k2.append(int.from_bytes(d[8:], "little", signed=True))
-                sigs.append(signature(s, a, b).tobytes() if len(s) else None)
+                sigs.append(record_of(s, a, b) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n_shingles", "k1", "k2", "sig"],
@@ -153,8 +188,7 @@ def _index(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(batch.num_rows, -1)
-            keys = keys_of(sig)
+            keys = keys_of(Records(batch.column(1).to_pylist()).sig)
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
             place = np.tile(np.arange(keys.shape[1], dtype=np.int32), batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(place), pa.array(node)], names=["key", "place", "node"])
@@ -162,15 +196,16 @@ def _index(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, place int, node long")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, furthest: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in `furthest` values at most."""
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose records allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x != y).sum(axis=1) <= furthest))
+            x, y = (Records(batch.column(i).to_pylist()) for i in (2, 3))
+            close = (x.sig != y.sig).sum(axis=1) <= FURTHEST
+            yield batch.select([0, 1]).filter(pa.array(close & may_be_alike(x.parity, y.parity, x.size, y.size, percent)))
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("y"))
@@ -202,7 +237,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _left_over(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def _left_over(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one key, neither a pivot, in different components."""
     marked = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = marked.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -215,18 +250,19 @@ def _left_over(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
     left = rows.where("out").withColumn("r", each("nr")).withColumn("l", F.pmod("h", "nl").cast("int")).withColumn("side", F.lit(0))
     right = rows.withColumn("l", each("nl")).withColumn("r", F.pmod("h", "nr").cast("int")).withColumn("side", F.lit(1))
     both = left.unionByName(right).select("key", "l", "r", "side", "place", "node", "component", "sig", "out")
-    return both.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_compare, "a long, b long")
+    return both.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(partial(_compare, percent=percent), "a long, b long")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted blocks of one key: its pairs within FURTHEST, under their first key."""
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of sorted blocks of one key: the pairs that may be alike, under their first key."""
     for block in _runs(batches):
         side = block["side"].to_numpy()
         k = int((side == 0).sum())
         if not 0 < k < len(side):
             continue
         node, component, out = (block[c].to_numpy() for c in ("node", "component", "out"))
-        sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint16).reshape(len(side), -1)
+        r = Records(block["sig"].to_pylist())
+        sig = r.sig
         place = int(block["place"][0].as_py())
         a, b = [], []
         for i in range(k):
@@ -234,6 +270,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = np.flatnonzero((component[k:] != component[i]) & (~out[k:] | (node[k:] > node[i]))) + k
             differ = sig[near] != sig[i]
             close = differ.sum(axis=1) <= FURTHEST
+            close[close] = may_be_alike(r.parity[near[close]], r.parity[i], r.size[near[close]], r.size[i], percent)
             near, differ = near[close], differ[close]
             if len(near):
                 chunks = differ.reshape(len(near), CHUNKS, WIDTH)
@@ -287,10 +324,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     shared = materialize(few.unionAll(many), "pivots")
     pivot = F.explode(F.array_remove("pivots", F.col("node")))
     star = shared.select("node", pivot.alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    star = materialize(_near(star, nodes, FURTHEST), "star-pairs")
+    star = materialize(_near(star, nodes, percent), "star-pairs")
     links = materialize(_confirm(star, docs, shingle, percent), "links")
     labels = components(links)
-    rest = materialize(_left_over(shared.where("n > 3"), labels, nodes).distinct(), "rest-pairs")
+    rest = materialize(_left_over(shared.where("n > 3"), labels, nodes, percent).distinct(), "rest-pairs")
     more = materialize(_confirm(rest, docs, shingle, percent), "links")
     component = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if not more.isEmpty():
