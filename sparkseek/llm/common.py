@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,7 +37,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    _written.append(path)
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+#: Tables of materialize() that are still there.
+_written: list[str] = []
+
+
+def mark() -> int:
+    """What discard() takes to tell later tables from earlier ones."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables written since a mark, all but `kept`, and let Spark drop
+    the shuffle files of queries that nothing refers to any more."""
+    keep = {df._written_at for df in kept}
+    gone = [p for p in _written[since:] if p not in keep]
+    _written[since:] = [p for p in _written[since:] if p in keep]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def pieces(rows: int, each: int) -> int:
@@ -75,6 +103,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     aggregated before they are shuffled, so a hub's edges never meet in one
     task; each round is written to the shared folder.
     """
+    spark, start = edges.sparkSession, mark()
     now = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
     same = ("count(*) AS n", "coalesce(sum(cast(xxhash64(u, v) AS decimal(38, 0))), 0) AS s")
     before = now.selectExpr(*same).first()
@@ -88,8 +117,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         now = materialize(small, "edges")
         after = now.selectExpr(*same).first()
         if after == before:
+            discard(spark, start, now)
             break
         before = after
+        discard(spark, start, now)
     else:
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, components, materialize, table
+from .common import bit_filter, components, discard, mark, materialize, table
 
 CHUNKS, WIDTH, SHINGLE = 12, 8, 5
 #: Rows of one key that are compared at once: of those left over, of the others.
@@ -314,6 +314,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     nodes = materialize(classes, "nodes")
     index = _index(nodes)
     keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
+    start = mark()
     shared = materialize(index.join(keys, "key"), "shared-keys")
     few, many = shared.where("n < 4"), shared.where("n >= 4")
     # The text that a group's copies were made from shares the most keys with them.
@@ -322,6 +323,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     few = few.select("key", "place", "node", "n", F.array("lo", "hi").alias("pivots"))
     many = many.join(hubs, "key").select("key", "place", "node", "n", F.array_distinct(F.array("hub", "lo")).alias("pivots"))
     shared = materialize(few.unionAll(many), "pivots")
+    discard(docs.sparkSession, start, shared)
     pivot = F.explode(F.array_remove("pivots", F.col("node")))
     star = shared.select("node", pivot.alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
     star = materialize(_near(star, nodes, percent), "star-pairs")
@@ -343,8 +345,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
     """The documents without all but the least doc_id of each component."""
+    start = mark()
     found = near_duplicates(docs, shingle, percent)
     gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct(), "near-copies")
+    discard(docs.sparkSession, start, gone)
     maybe = bit_filter(gone, "_gone_id")
     at = F.col("doc_id").cast("long")
     may = F.coalesce(maybe(at), F.lit(False))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialize, table
+from .common import bit_filter, discard, mark, materialize, table
 
 CLASSES = 128
 QUANTILE = 0.98
@@ -200,8 +200,10 @@ class Classifier:
     """Models and thresholds, fitted on all trusted documents of docs."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
+        start = mark()
         model = materialize(train(trusted_text(docs, labels)), "language-models")
         self.batches = list(_broadcasts(model))
+        discard(docs.sparkSession, start)
         self.known = [k for some, _ in self.batches for k in some]
         rows = docs.select(F.col("doc_id").cast("long"), _lang(docs).alias("lang"), "text")
         parts = [_scored(rows.where(F.col("lang").isin(some)), sent) for some, sent in self.batches]
