@@ -7,11 +7,12 @@ PLAN_CODES = frozenset(
     UNKNOWN_GROUP_BY_PROPERTY INVALID_GROUP_BY_PROPERTY UNABLE_TO_SORT_ON_UNKNOWN_FIELD SORT_DISABLED
     UNKNOWN_VECTOR_PROPERTY INVALID_INPUT_VECTOR INVALID_VECTOR_INPUT INVALID_VECTOR_SIZE INVALID_SEARCH_MODE
     LANGUAGE_NOT_SUPPORTED PROPERTY_NOT_STORED INVALID_DISTANCE_SUFFIX RESERVED_SCHEMA_PROPERTY SUGGEST_NOT_SUPPORTED
-    MISSING_STEMMER PLUGIN_COMPONENT_CONFLICT WRONG_SEARCH_PROPERTY_TYPE""".split()
+    MISSING_STEMMER PLUGIN_COMPONENT_CONFLICT WRONG_SEARCH_PROPERTY_TYPE UNSUPPORTED_COMPONENT MISSING_TERM
+    INVALID_STORE_CONFIG FREEZE_NOT_SUPPORTED VECTOR_NOT_STORED INVALID_STEMMER_FUNCTION_TYPE""".split()
 )
 INGEST_CODES = frozenset(
     """SCHEMA_VALIDATION_FAILURE DOCUMENT_ALREADY_EXISTS DOCUMENT_ID_MUST_BE_STRING INVALID_DOCUMENT_PROPERTY
-    INVALID_SCHEMA_TYPE""".split()
+    INVALID_SCHEMA_TYPE INVALID_BATCH_SIZE DOCUMENT_DOES_NOT_EXIST""".split()
 )
 
 

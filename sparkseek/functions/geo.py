@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,8 +60,6 @@ def vincenty_metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float
 
 
 def vincenty(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([vincenty_metres(x, y, lat0, lon0) for x, y in zip(a, b, strict=True)], dtype=float)

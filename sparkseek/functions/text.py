@@ -31,6 +31,14 @@ LANGUAGES: dict[str, tuple[str, str]] = {
 COLLATIONS = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it", "dutch": "nl", "portuguese": "pt", "swedish": "sv", "danish": "da"}
 UNFOLDED = frozenset(["vietnamese"])
 
+#: Scripts without spaces are cut into pairs of neighbouring characters: an
+#: approximation of a dictionary's words that finds every word of two or more.
+PAIRED = {"japanese": "ja", "korean": "ko", "chinese": "zh"}
+_JOINED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+_APART = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]"
+#: Matches nothing, ahead of each pair, lone character or word of other scripts.
+PAIRS = f"(?=({_JOINED}{{2}}|(?<!{_JOINED}){_JOINED}(?!{_JOINED})|(?<!{_APART}){_APART}+))"
+
 
 def _foldings() -> dict[str, str]:
     """Each letter of U+00C0 to U+017F to its base letter; a few by sound or shape."""
@@ -50,6 +58,8 @@ FOLD_FROM, FOLD_TO = "".join(FOLD), "".join(FOLD.values())
 
 def word_pattern(language: str) -> str:
     """Matches words without the apostrophes and hyphens at their edges."""
+    if language in PAIRED:
+        return PAIRS
     if language not in LANGUAGES:
         raise SeekError("LANGUAGE_NOT_SUPPORTED", language)
     extra = LANGUAGES[language][0]
@@ -92,7 +102,7 @@ class Analyzer:
         else:
             low = F.lower(text)
             low = F.translate(low, FOLD_FROM, FOLD_TO) if self._folds() else low
-            out = F.regexp_extract_all(low, F.lit(word_pattern(self.language)), F.lit(0))
+            out = F.regexp_extract_all(low, F.lit(word_pattern(self.language)), F.lit(1 if self.language in PAIRED else 0))
         if self.stop_words:
             stop = F.array(*[F.lit(w) for w in self.stop_words])
             out = F.filter(out, lambda w: ~F.array_contains(stop, w))
@@ -105,7 +115,7 @@ class Analyzer:
         if prop in self.tokenize_skip:
             found: Iterable[str] = [text.strip("'-").translate(table)]
         else:
-            found = regex.findall(word_pattern(self.language), text.lower().translate(table))
+            found = regex.findall(word_pattern(self.language), text.lower().translate(table), regex.V1)
         found = [w for w in found if w and w not in self.stop_words]
         stem = self.stems(prop)
         found = [s for w in found if (s := stem(w))] if stem else found
@@ -113,17 +123,8 @@ class Analyzer:
 
 
 def collation(language: str) -> str:
-    return COLLATIONS.get(language, "UNICODE")
+    return COLLATIONS.get(language) or PAIRED.get(language, "UNICODE")
 
 
 def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-
-
-def cjk_bigrams(text: str) -> list[str]:
-    """Two-character tokens of scripts without spaces; an approximation."""
-    out: list[str] = []
-    for run in regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+|[\p{L}\p{M}\p{N}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]]+", text.lower(), regex.V1):
-        cjk = regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", run)
-        out += [run[i : i + 2] for i in range(max(len(run) - 1, 1))] if cjk else [run]
-    return out

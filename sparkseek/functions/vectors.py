@@ -43,10 +43,10 @@ def clamped(s: Column) -> Column:
 
 
 def sign_words(v: Column, size: int) -> Column:
-    """One bit a dimension (not negative), packed into longs."""
+    """One bit a dimension (above 0), packed into longs."""
     words = []
     for w in range(-(-size // 64)):
-        bits = [F.when(F.get(v, i) >= 0, F.lit((1 << (i % 64)) - (1 << 64 if i % 64 == 63 else 0))).otherwise(F.lit(0)).cast("long") for i in range(64 * w, min(size, 64 * w + 64))]
+        bits = [F.when(F.get(v, i) > 0, F.lit((1 << (i % 64)) - (1 << 64 if i % 64 == 63 else 0))).otherwise(F.lit(0)).cast("long") for i in range(64 * w, min(size, 64 * w + 64))]
         word = bits[0]
         for b in bits[1:]:
             word = word.bitwiseOR(b)
@@ -63,13 +63,13 @@ def binary_score(distance: Column, size: int) -> Column:
 
 
 def int8_code(v: Column) -> Column:
-    """struct(code array<tinyint>, low, step): an affine code of each vector's own range."""
+    """struct(code array<tinyint>, step, shift): an affine code of each vector's own range."""
     low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    step = F.when(high > low, (high - low) / 255).otherwise(F.lit(1.0))
-    code = F.transform(v, lambda x: (F.round((x.cast("double") - low) / step) - 128).cast("tinyint"))
-    return F.struct(code.alias("code"), low.alias("low"), step.alias("step"))
+    step = F.when(high > low, (high - low) / 255).otherwise(F.lit(0.0))
+    code = F.transform(v, lambda x: (F.when(step > 0, F.round((x.cast("double") - low) / step)).otherwise(0) - 128).cast("tinyint"))
+    return F.struct(code.alias("code"), step.cast("float").alias("step"), (low + 128 * step).cast("float").alias("shift"))
 
 
 def int8_score(query: Column, code: Column, query_sum: Column) -> Column:
     """Dot product of an exact query with a coded vector."""
-    return query_sum * (code["low"] + 128 * code["step"]) + code["step"] * dot(query, code["code"])
+    return clamped(query_sum * code["shift"].cast("double") + code["step"].cast("double") * dot(query, code["code"]))

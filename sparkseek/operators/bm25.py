@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SeekError
 from ..functions.scoring import Bm25, bm25
 from ..sources.index import Index
+from ..sources.numbering import numbered
 from .expand import expand
 
+#: Partial matches that are cut by a top-k; beyond, by a distributed numbering.
+MOST_HELD = 10_000
+
 
 @dataclass
 class TextQuery:
@@ -76,8 +82,12 @@ def ranked(index: Index, q: TextQuery, allowed: DataFrame | None = None) -> Data
     n_full, n_part = sizes.first()
     if not n_full:
         return docs.select("seq", "score")
-    take = -(-int(round(q.threshold * n_part * 1e9)) // 1_000_000_000)
-    part = docs.where("full = 0").select("seq", "score").orderBy(F.desc(F.round("score", 9)), "seq").limit(take)
+    take = math.ceil(round(q.threshold * n_part, 9))
+    part = docs.where("full = 0").select("seq", "score")
+    if take <= MOST_HELD:
+        part = part.orderBy(F.desc(F.round("score", 9)), "seq").limit(take)
+    else:
+        part = numbered(part, "_n", [-F.round("score", 9), F.col("seq")]).where(F.col("_n") <= take).drop("_n")
     return docs.where("full = 1").select("seq", "score").unionAll(part)
 
 
@@ -91,8 +101,6 @@ _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])
 
 def holds_exactly(index: Index, docs: DataFrame, q: TextQuery) -> DataFrame:
     """Documents one of whose stored searched fields has every word as it stands."""
-    import re
-
     words = [w for w in re.split(r"\s+", q.term.strip()) if w]
     props = [p for p in searched(index, q.properties) if index.schema.fields[p] == "string"]
     stored = [p for p in props if p not in index.excluded]
@@ -105,11 +113,3 @@ def holds_exactly(index: Index, docs: DataFrame, q: TextQuery) -> DataFrame:
             every = every & F.col(p).rlike(_EDGE + re.sub(r"([^\w\s])", r"\\\1", w) + _EDGE)
         test = test | F.coalesce(every, F.lit(False))
     return docs.where(test)
-
-
-def top(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:
-    return scored.orderBy(F.desc(F.round("score", 9)), "seq").offset(offset).limit(k) if offset else scored.orderBy(F.desc(F.round("score", 9)), "seq").limit(k)
-
-
-def rank_window() -> Window:
-    return Window.orderBy(F.desc(F.round("score", 9)), "seq")

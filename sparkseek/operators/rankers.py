@@ -21,34 +21,36 @@ def sentence_postings(index: Index, prop: str) -> DataFrame:
     before = F.coalesce(F.sum((F.size("w") > 1).cast("int")).over(Window.partitionBy("seq").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("bit", F.least(before, F.lit(MOST_SENTENCES)).cast("int"))
     total = F.sum(F.size("w")).over(Window.partitionBy("seq"))
-    rows = rows.select("seq", "bit", total.alias("total"), F.explode("w").alias("term"))
-    # From the 21st sentence on, the bit lies outside the mask.
-    bit = F.when(F.col("bit") < 20, F.call_function("shiftleft", F.lit(1), F.col("bit"))).otherwise(0)
-    return rows.groupBy("seq", "term", "total").agg(F.count("*").alias("n"), F.bit_or(bit).alias("mask"))
+    rows = rows.withColumn("total", total).select("seq", "bit", "total", F.explode("w").alias("term"))
+    early = F.col("bit") < MOST_SENTENCES
+    bit = F.when(early, F.call_function("shiftleft", F.lit(1), F.col("bit"))).otherwise(0)
+    sums = rows.groupBy("seq", "term", "total").agg(F.count_if(early).alias("a"), F.count_if(~early).alias("b"), F.bit_or(bit).alias("mask"))
+    # The bit of late sentences is the lowest bit of the count: each sets it.
+    n = F.when(F.col("b") == 0, F.col("a")).otherwise(F.col("a") + 1 + F.col("a") % 2 + 2 * (F.col("b") - 1))
+    return sums.select("seq", "term", "total", n.alias("n"), "mask")
 
 
 def by_sentences(index: Index, term: str, props: list[str], exact: bool = False, tolerance: int = 0, boost: dict | None = None) -> DataFrame:
     """seq, score: occurrences squared over length, whole words one more, and twice
-    the sentences that a word shares with the words before it."""
+    the sentences that a word shares with the words before it.
+
+    Whatever their order, words share sentences with those before them as often as
+    their sentences' number is above that of their union: a plain aggregate.
+    """
     from .expand import matches
 
     tokens = list(dict.fromkeys(index.analyzer.tokens(term))) or [""]
-    parts = []
-    for p, prop in enumerate(props):
+    found = None
+    for prop in props:
         rows = sentence_postings(index, prop)
-        first = F.coalesce(*[F.when(matches(t, exact, tolerance), F.lit(i)) for i, t in enumerate(tokens)])
-        whole = F.col("term").isin(tokens).cast("int")
-        score = (F.col("n") * F.col("n") / F.col("total") + whole) * float((boost or {}).get(prop, 1))
-        parts.append(rows.withColumn("i", first).where(F.col("i").isNotNull()).select("seq", F.struct(F.lit(p).alias("p"), "i", "term", score.alias("s"), "mask").alias("r")))
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionAll(x)
-    # The running mask depends on order: fields, then the query's words, then words by name.
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("m"))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list("r")), start, lambda a, r: F.struct((a["s"] + r["s"] + 2 * F.bit_count(a["m"].bitwiseAND(r["mask"]))).alias("s"), a["m"].bitwiseOR(r["mask"]).alias("m"))
-    )
-    return rows.groupBy("seq").agg(fold["s"].alias("score"))
+        hit = F.lit(False)
+        for t in tokens:
+            hit = hit | matches(t, exact, tolerance)
+        score = (F.col("n") * F.col("n") / F.col("total") + F.col("term").isin(tokens).cast("int")) * float((boost or {}).get(prop, 1))
+        part = rows.where(hit).select("seq", score.alias("s"), "mask")
+        found = part if found is None else found.unionAll(part)
+    shared = F.sum(F.bit_count("mask")) - F.bit_count(F.bit_or("mask"))
+    return found.groupBy("seq").agg((F.sum("s") + 2 * shared).alias("score"))
 
 
 def by_position(index: Index, term: str, props: list[str], boost: dict | None = None) -> DataFrame:

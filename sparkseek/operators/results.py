@@ -34,7 +34,8 @@ def facet(index: Index, hits: DataFrame, prop: str, spec: dict | None = None) ->
         return _ranges(hits, prop, kind, spec.get("ranges", []))
     col = F.col(prop)
     if kind in ("string[]", "enum[]", "boolean[]"):
-        counts = hits.select(F.explode(F.array_distinct(col)).cast("string").alias("value")).groupBy("value").agg(F.count("*").alias("count"))
+        values = F.array_distinct(F.transform(col, lambda x: x.cast("string")))
+        counts = hits.select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("count"))
     elif kind in ("string", "enum"):
         counts = hits.groupBy(F.coalesce(col.cast("string"), F.lit("")).alias("value")).agg(F.count("*").alias("count"))
     elif kind == "boolean":
@@ -54,11 +55,13 @@ def facet_size(index: Index, hits: DataFrame, prop: str) -> DataFrame:
 
 def _ranges(hits: DataFrame, prop: str, kind: str, ranges: list[dict]) -> DataFrame:
     """Inclusive at both ends; empty ranges stay, with 0; one pass for all."""
+
+    def inside(lo, hi) -> Column:
+        return F.exists(F.col(prop), lambda x: x.between(lo, hi)) if kind.endswith("[]") else F.col(prop).between(lo, hi)
+
     seen: dict[str, Column] = {}
     for r in ranges:
-        lo, hi = r["from"], r["to"]
-        inside = F.exists(F.col(prop), lambda x, lo=lo, hi=hi: x.between(lo, hi)) if kind.endswith("[]") else F.col(prop).between(lo, hi)
-        seen.setdefault(f"{lo}-{hi}", F.count_if(inside))
+        seen.setdefault(f"{r['from']}-{r['to']}", F.count_if(inside(r["from"], r["to"])))
     pairs = F.array(*[F.struct(F.lit(k).alias("value"), c.alias("count")) for k, c in seen.items()])
     return hits.agg(pairs.alias("r")).select(F.explode("r").alias("r")).select("r.value", "r.count")
 
@@ -105,14 +108,18 @@ def groups(index: Index, hits: DataFrame, props: list[str], max_result: int = 0)
     rows = hits.select("seq", F.round("score", 9).alias("score"), *[F.col(p).alias(f"v{i}") for i, p in enumerate(props)])
     for i in range(len(props)):
         rows = rows.where(F.col(f"v{i}").isNotNull())
-        rank = F.row_number().over(Window.partitionBy(f"v{i}").orderBy(F.desc("score"), "seq"))
-        rows = rows.withColumn(f"r{i}", rank)
-    first = [F.struct((-F.col("score")).alias("s"), F.col("seq")) for _ in props]
-    for i in range(len(props)):
-        rows = rows.withColumn(f"f{i}", F.min(first[i]).over(Window.partitionBy(f"v{i}")))
+    first = F.struct((-F.col("score")).alias("s"), F.col("seq"))
+    seen = [rows.groupBy(f"v{i}").agg(F.min(first).alias(f"f{i}")) for i in range(len(props))]
     if max_result:
+        ranked = rows
         for i in range(len(props)):
-            rows = rows.where(F.col(f"r{i}") <= max_result)
+            # Filtered one by one, each cap is applied before rows are shuffled; the
+            # caps are of the whole list, so they are joined by seq.
+            rank = F.row_number().over(Window.partitionBy(f"v{i}").orderBy(F.desc("score"), "seq"))
+            best = ranked.select("seq", f"v{i}", "score").withColumn("r", rank).where(F.col("r") <= max_result)
+            rows = rows.join(best.select("seq"), "seq", "left_semi")
+    for i, s in enumerate(seen):
+        rows = rows.join(s, f"v{i}")
     keys = [f"v{i}" for i in range(len(props))]
     out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("seq")))).alias("r"), F.struct(*[F.min(f"f{i}").alias(f"f{i}") for i in range(len(props))]).alias("place"))
     return out.select(F.array(*[F.col(k).cast("string") for k in keys]).alias("values"), "place", F.transform("r", lambda x: x["seq"]).alias("result"))
@@ -148,37 +155,46 @@ def sort_keys(index: Index, prop: str, descending: bool = False) -> list[Column]
 
 
 def pinned(index: Index, hits: DataFrame, term: str, keys: list[Column] | None = None) -> DataFrame:
-    """hits with `slot`, the final place from 0; pinned documents may join."""
+    """hits with `slot`, to order by before keys; pinned documents may join.
+
+    Only as many of the best rows as the pins can push down get a place of their
+    own; all rows after them share the last one and keep their order.
+    """
     keys = keys or order_keys()
     pins = _promotions(index, term)
-    rank = F.row_number().over(Window.orderBy(*keys)) - 1
+    if pins:
+        # A place claimed by a document that isn't there stays free.
+        there = {r["id"] for r in index.docs.where(F.col("id").isin(list(pins.values()))).select("id").collect()}
+        pins = {p: d for p, d in pins.items() if d in there}
     if not pins:
-        return hits.withColumn("slot", rank.cast("long"))
+        return hits.withColumn("slot", F.lit(0).cast("long"))
     table = index.spark.createDataFrame([(d, p) for p, d in pins.items()], "id string, pin long")
     fixed = index.docs.join(F.broadcast(table), "id")
-    # Only documents that exist hold their places; the others' close up.
     fixed = fixed.join(hits.select("seq", F.lit(True).alias("_found")), "seq", "left")
     score = F.when(F.col("_found"), F.lit(1_000_000.0) - F.col("pin")).otherwise(0.0)
     fixed = fixed.withColumn("score", score).withColumn("slot", F.col("pin")).drop("pin", "_found")
-    free = hits.join(F.broadcast(table.select("id")), "id", "left_anti").withColumn("_n", rank)
-    taken = F.array(*[F.lit(p).cast("long") for p in sorted(pins)])
+    free = hits.join(F.broadcast(table.select("id")), "id", "left_anti")
+    head = free.orderBy(*keys).limit(max(pins) + 1)
+    n = (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long")
     # Each taken place up to its own moves a free row on by one.
-    slot = F.aggregate(taken, F.col("_n").cast("long"), lambda n, p: F.when(p <= n, n + 1).otherwise(n))
-    free = free.withColumn("slot", slot).drop("_n")
-    both = free.unionByName(fixed.select(*free.columns))
-    return both.withColumn("slot", (F.row_number().over(Window.orderBy("slot", F.desc("score"), "seq")) - 1).cast("long"))
+    taken = F.array(*[F.lit(p).cast("long") for p in sorted(pins)])
+    slot = F.aggregate(taken, F.col("_n"), lambda n, p: F.when(p <= n, n + 1).otherwise(n))
+    places = head.select("seq", n.alias("_n")).select("seq", slot.alias("_slot"))
+    last = max(pins) + len(pins) + 2
+    placed = free.join(F.broadcast(places), "seq", "left").withColumn("slot", F.coalesce("_slot", F.lit(last).cast("long"))).drop("_slot")
+    return placed.unionByName(fixed.select(*placed.columns))
 
 
 def _promotions(index: Index, term: str) -> dict[int, str]:
     """place -> id of the rules that the term meets; the first claim of either holds."""
     term = term.strip().lower()
     out: dict[int, str] = {}
-    for rule in index.pins.values():
-        if not all(_meets(term, c) for c in rule["conditions"]):
-            continue
-        for p in sorted(rule["promote"], key=lambda p: p["position"]):
-            if p["position"] not in out and p["doc_id"] not in out.values():
-                out[p["position"]] = p["doc_id"]
+    if not term:
+        return out
+    met = [rule for rule in index.pins.values() if all(_meets(term, c) for c in rule["conditions"])]
+    for p in sorted((p for rule in met for p in rule["promote"]), key=lambda p: p["position"]):
+        if p["position"] not in out and p["doc_id"] not in out.values():
+            out[p["position"]] = p["doc_id"]
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ def suggest(index: Index, term: str, properties="*", prefix: bool | str = True,
     q = TextQuery(term, properties, relevance=relevance, boost=boost, tolerance=tolerance)
     props = searched(index, properties)
     tokens = query_tokens(index, q, props)
+    # The word to complete is the last one typed, even where it repeats an earlier one.
+    typed = index.analyzer.tokens(term)
+    if typed:
+        tokens = [t for t in tokens if t != typed[-1]] + [typed[-1]]
     if tokens == [""]:
         return index.spark.createDataFrame([], "suggestion string, score double, count long")
     last = len(tokens) - 1
@@ -38,7 +44,7 @@ def suggest(index: Index, term: str, properties="*", prefix: bool | str = True,
     )
     if threshold > 0:
         partial = docs.where(F.col("n") < len(tokens))
-        take = -(-int(round(min(threshold, 1) * partial.count() * 1e9)) // 1_000_000_000)
+        take = math.ceil(round(min(threshold, 1) * partial.count(), 9))
         docs = docs.where(F.col("n") == len(tokens)).unionAll(partial.orderBy(F.desc(F.round("total", 9)), "seq").limit(take))
     else:
         docs = docs.where(F.col("n") == len(tokens))
@@ -67,5 +73,6 @@ def _words(index: Index, q: TextQuery, token: str, i: int, props: list[str]) ->
     words = words.join(F.broadcast(index.spark.createDataFrame(facts, "prop string, average double, boost double")), "prop")
     weight = bm25(F.col("tf"), F.col("idf"), F.col("len"), F.col("average"), q.relevance) * F.col("demotion") * F.col("boost")
     post = index.postings.where(F.col("prop").isin(props)).join(words.select("prop", "term", "idf", "average", "demotion", "boost"), ["prop", "term"])
-    inverse = F.transform(F.split("term", ""), lambda c: -F.ascii(c))
+    # Ends above all signs, so that of two words one of which begins the other the shorter is preferred.
+    inverse = F.concat(F.transform(F.split("term", ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))
     return post.select("seq", F.lit(i).alias("i"), "term", weight.alias("w"), inverse.alias("order"))

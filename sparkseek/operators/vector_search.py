@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,6 @@ def kmeans(rows: DataFrame, k: int, seed: int = 7, sample: int = 50_000) -> np.n
 
 def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """rows with `cluster`, the nearest centroid by dot product."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:
         return pd.Series((np.stack(v.to_numpy()) @ centroids.T).argmax(axis=1)) if len(v) else pd.Series([], dtype="int32")
@@ -71,36 +70,51 @@ class Ivf:
         self.rows.write.mode("overwrite").partitionBy("cluster").parquet(path)
         self.rows = self.index.spark.read.parquet(path)
 
-    def search(self, value: list[float], similarity: float = SIMILARITY) -> DataFrame:
+    def search(self, value: list[float], similarity: float = SIMILARITY, nprobe: int | None = None) -> DataFrame:
         q = _query(self.index, self.prop, value)
         if q is None:
             return self.rows.select("seq", F.lit(0.0).alias("score")).where("false")
-        probed = np.argsort(-(self.centroids @ np.array(q)), kind="stable")[: self.nprobe].tolist()
+        probed = np.argsort(-(self.centroids @ np.array(q)), kind="stable")[: nprobe or self.nprobe].tolist()
         near = self.rows.where(F.col("cluster").isin(probed))
         return near.select("seq", V.clamped(V.dot(F.col("v"), V.literal(q))).alias("score")).where(F.col("score") >= similarity)
 
 
-def binary(index: Index, prop: str, value: list[float], k: int, rescore: bool = True, oversample: int = OVERSAMPLE) -> DataFrame:
-    """The k best by sign bits; rescored exactly among k * oversample of them."""
+def _two_steps(rows: DataFrame, q: list[float], k: int | None, similarity: float | None, rescore: str | None, oversample: int) -> DataFrame:
+    """seq, score from rows (seq, v, code score): the best by code, scored again.
+
+    With k, the k * oversample best by code are scored again; with a similarity
+    alone, all whose code comes within RESCORE_MARGIN of it.
+    """
+    order = [F.desc(F.round("score", 9)), F.asc("seq")]
+    if rescore is None:
+        out = rows.select("seq", "score")
+    else:
+        some = rows.orderBy(*order).limit(k * oversample) if k else rows.where(F.col("score") >= (similarity or 0.0) - RESCORE_MARGIN)
+        exact = V.clamped(V.dot(F.col("v"), V.literal(q)))
+        if rescore == "int8":
+            exact = V.int8_score(V.literal(q), V.int8_code(F.col("v")), F.lit(sum(q)))
+        out = some.select("seq", exact.alias("score"))
+    if similarity is not None:
+        out = out.where(F.col("score") >= similarity)
+    return out.orderBy(*order).limit(k) if k else out
+
+
+def binary(index: Index, prop: str, value: list[float], k: int | None = None, rescore: str | None = "float32", oversample: int = OVERSAMPLE, similarity: float | None = None) -> DataFrame:
+    """seq, score by sign bits; with rescore ("int8" or "float32") in two steps."""
     q = _query(index, prop, value) or []
     size = vector_size(index.schema.fields[prop])
-    words = [sum(1 << (i % 64) for i in range(w, min(w + 64, size)) if q[i] >= 0) for w in range(0, size, 64)]
+    words = [sum(1 << (i % 64) for i in range(w, min(w + 64, size)) if q[i] > 0) for w in range(0, size, 64)]
     code = F.array(*[F.lit(w - (1 << 64) if w >= 1 << 63 else w).cast("long") for w in words])
     rows = vectors(index, prop).select("seq", "v", V.binary_score(V.hamming(V.sign_words(F.col("v"), size), code), size).alias("score"))
-    if not rescore:
-        return rows.select("seq", "score").orderBy(F.desc(F.round("score", 9)), "seq").limit(k)
-    best = rows.orderBy(F.desc(F.round("score", 9)), "seq").limit(k * oversample)
-    return best.select("seq", V.clamped(V.dot(F.col("v"), V.literal(q))).alias("score")).orderBy(F.desc(F.round("score", 9)), "seq").limit(k)
+    return _two_steps(rows, q, k, similarity, rescore, oversample)
 
 
-def int8(index: Index, prop: str, value: list[float], k: int, rescore: bool = True, oversample: int = OVERSAMPLE) -> DataFrame:
+def int8(index: Index, prop: str, value: list[float], k: int | None = None, rescore: str | None = "float32", oversample: int = OVERSAMPLE, similarity: float | None = None) -> DataFrame:
+    """seq, score by 8-bit codes; with rescore ("float32") in two steps."""
     q = _query(index, prop, value) or []
     rows = vectors(index, prop).select("seq", "v", V.int8_code(F.col("v")).alias("c"))
     rows = rows.select("seq", "v", V.int8_score(V.literal(q), F.col("c"), F.lit(sum(q))).alias("score"))
-    best = rows.orderBy(F.desc(F.round("score", 9)), "seq").limit(k * oversample if rescore else k)
-    if not rescore:
-        return best.select("seq", "score")
-    return best.select("seq", V.clamped(V.dot(F.col("v"), V.literal(q))).alias("score")).orderBy(F.desc(F.round("score", 9)), "seq").limit(k)
+    return _two_steps(rows, q, k, similarity, rescore, oversample)
 
 
 class ProductQuantizer:
@@ -131,8 +145,6 @@ class ProductQuantizer:
         return c
 
     def _encoded(self, rows: DataFrame) -> DataFrame:
-        import pandas as pd
-
         books, width = self.books, self.width
 
         @F.pandas_udf("binary")
@@ -144,8 +156,6 @@ class ProductQuantizer:
         return rows.withColumn("code", code("v"))
 
     def search(self, value: list[float], k: int, oversample: int = OVERSAMPLE) -> DataFrame:
-        import pandas as pd
-
         q = _query(self.index, self.prop, value) or []
         lut = np.stack([b @ np.array(q[j * self.width : (j + 1) * self.width]) for j, b in enumerate(self.books)])
 
@@ -163,9 +173,8 @@ def hybrid(text: DataFrame, near: DataFrame, weights: tuple[float, float] | None
     wt, wv = weights or (0.5, 0.5)
 
     def scaled(df: DataFrame, name: str) -> DataFrame:
-        most = df.agg(F.max("score").alias("m"))
-        share = F.when(F.col("m") > 0, F.col("score") / F.col("m")).otherwise(0.0)
-        return df.join(F.broadcast(most)).select("seq", share.alias(name))
+        most = df.agg(F.max("score").alias("m")).scalar()
+        return df.select("seq", F.when(most > 0, F.col("score") / most).otherwise(0.0).alias(name))
 
     both = scaled(text, "t").join(scaled(near, "v"), "seq", "full_outer")
     return both.select("seq", (F.coalesce("t", F.lit(0.0)) * wt + F.coalesce("v", F.lit(0.0)) * wv).alias("score"))

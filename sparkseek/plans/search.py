@@ -88,14 +88,25 @@ class Result:
 
     def _by_distance(self, prop: str, how: dict) -> DataFrame:
         rows = Where(self.index, {prop: how}).apply(self.index.docs).select("seq", distance(F.col(prop), how).alias("m"))
-        most = rows.agg(F.max("m").alias("most"))
-        return rows.join(F.broadcast(most)).select("seq", (F.col("most") - F.col("m") + 1).alias("score"))
+        most = rows.agg(F.max("m").alias("most")).scalar()
+        return rows.select("seq", (most - F.col("m") + 1).alias("score"))
 
     @cached_property
     def matches(self) -> DataFrame:
         """Every match with its document's columns."""
         return self.index.docs.join(self.scored, "seq")
 
+    @cached_property
+    def _pins(self) -> bool:
+        return bool(self.index.pins) and self.request.mode != "vector" and bool(R._promotions(self.index, self.request.term))
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        """The matches, and the documents that pins add to them."""
+        if not self._pins:
+            return self.matches
+        return R.pinned(self.index, self.matches, self.request.term, self._keys()).drop("slot")
+
     def _keys(self) -> list[Column]:
         s = self.request.sort_by
         if not s or self.request.mode != "fulltext":
@@ -106,7 +117,7 @@ class Result:
 
     @property
     def count(self) -> DataFrame:
-        return self.scored.agg(F.count("*").alias("count"))
+        return (self.listed if self._pins else self.scored).agg(F.count("*").alias("count"))
 
     @property
     def hits(self) -> DataFrame:
@@ -115,19 +126,19 @@ class Result:
         if r.preflight:
             return self.matches.where("false")
         keys = self._keys()
-        pins = bool(ix.pins) and r.mode != "vector" and bool(R._promotions(ix, r.term))
-        plain = not pins and not r.distinct_on and not (r.sort_by and r.mode == "fulltext")
+        plain = not self._pins and not r.distinct_on and not (r.sort_by and r.mode == "fulltext")
         if plain:
             # Rank on ids; documents are fetched for the page alone.
             page = self.scored.orderBy(*keys).offset(r.offset).limit(r.limit)
             out = F.broadcast(page).join(ix.docs, "seq")
             return self._vectors(out).orderBy(*keys)
         rows = self.matches
-        if pins:
-            rows, keys = R.pinned(ix, rows, r.term, keys), [F.asc("slot")]
+        if self._pins:
+            rows, keys = R.pinned(ix, rows, r.term, keys), [F.asc("slot"), *keys]
         if r.distinct_on and r.mode == "fulltext":
             rows = R.distinct_on(ix, rows, r.distinct_on, keys)
-        return self._vectors(rows.orderBy(*keys).offset(r.offset).limit(r.limit))
+        page = self._vectors(rows.orderBy(*keys).offset(r.offset).limit(r.limit))
+        return page.drop("slot") if self._pins else page
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
         if self.request.include_vectors:
@@ -137,12 +148,12 @@ class Result:
 
     @property
     def facets(self) -> dict[str, DataFrame]:
-        return {p: R.facet(self.index, self.matches, p, s) for p, s in (self.request.facets or {}).items()}
+        return {p: R.facet(self.index, self.listed, p, s) for p, s in (self.request.facets or {}).items()}
 
     @property
     def groups(self) -> DataFrame:
         g = self.request.group_by or {}
-        return R.groups(self.index, self.matches, g["properties"], g.get("max_result", 0))
+        return R.groups(self.index, self.listed, g["properties"], g.get("max_result", 0))
 
 
 def search(index: Index, **request) -> Result:

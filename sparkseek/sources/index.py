@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,21 +20,12 @@ from pyspark.sql import functions as F
 from ..errors import SeekError
 from ..functions.text import Analyzer
 from ..schema import SearchSchema, vector_size
+from .numbering import numbered
 
 
 def ordered(docs: DataFrame, *order: str) -> DataFrame:
-    """docs with seq, 1 up in the given order.
-
-    Ranges of the order are numbered each for itself and moved up by the counts
-    of the ranges before: no task sees all rows.
-    """
-    cols = [F.col(c) for c in order]
-    dealt = docs.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = dealt.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_start"))
-    n = F.row_number().over(Window.partitionBy("_part").orderBy(*cols))
-    return dealt.withColumn("_n", n).join(F.broadcast(starts), "_part").withColumn("seq", F.col("_n") + F.col("_start")).drop("_part", "_n", "_start")
+    """docs with seq, 1 up in the given order."""
+    return numbered(docs, "seq", [F.col(c) for c in order])
 
 
 def field_text(df: DataFrame, prop: str, kind: str) -> Column:
@@ -137,9 +129,12 @@ class Index:
 
     def _plus(self, base: Index, rows: DataFrame) -> Index:
         top = self.docs.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        fresh = ordered(rows, "id").withColumn("seq", F.col("seq") + top)
-        docs = base.docs.unionByName(fresh, allowMissingColumns=True)
-        return self._version(docs, base.postings.unionByName(build_postings(fresh, self.schema, self.analyzer)))
+        return base.with_rows(ordered(rows, "id").withColumn("seq", F.col("seq") + top))
+
+    def with_rows(self, fresh: DataFrame) -> Index:
+        """A version with further rows, whose ids are new and whose seq is given."""
+        docs = self.docs.unionByName(fresh.drop(*self.excluded), allowMissingColumns=True)
+        return self._version(docs, self.postings.unionByName(build_postings(fresh, self.schema, self.analyzer)))
 
     def _version(self, docs: DataFrame, postings: DataFrame) -> Index:
         n = docs.count()
@@ -166,15 +161,16 @@ def build_postings(docs: DataFrame, schema: SearchSchema, analyzer: Analyzer) ->
 
 def _stemmed(pairs: DataFrame, stem, analyzer: Analyzer) -> DataFrame:
     """Stem the dictionary, not the text: once for each distinct word."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem)
 
     known = pairs.select("term").distinct().withColumn("stem", stems("term"))
     out = pairs.join(known, "term").where("stem <> ''").select("seq", "len", F.col("stem").alias("term"))
-    return out if analyzer.allow_duplicates else out.distinct()
+    if analyzer.allow_duplicates:
+        return out
+    out = out.distinct()
+    return out.drop("len").join(out.groupBy("seq").agg(F.count("*").cast("int").alias("len")), "seq")
 
 
 def field_averages(docs: DataFrame, postings: DataFrame, schema: SearchSchema, n_docs: int) -> dict[str, float]:
@@ -187,7 +183,7 @@ def field_averages(docs: DataFrame, postings: DataFrame, schema: SearchSchema, n
     if not props or not n_docs:
         return {}
     there = docs.agg(*[F.count(p).alias(f"c{i}") for i, p in enumerate(props)]).first()
-    sums = {r["prop"]: r["s"] for r in postings.select("prop", "seq", "len").distinct().groupBy("prop").agg(F.sum("len").alias("s")).collect()}
+    sums = {r["prop"]: r["s"] for r in postings.groupBy("prop").agg(F.sum("tf").alias("s")).collect()}
     out = {}
     for i, p in enumerate(props):
         if there[i] == n_docs:
