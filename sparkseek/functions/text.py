@@ -34,8 +34,8 @@ UNFOLDED = frozenset(["vietnamese"])
 #: Scripts without spaces are cut into pairs of neighbouring characters: an
 #: approximation of a dictionary's words that finds every word of two or more.
 PAIRED = {"japanese": "ja", "korean": "ko", "chinese": "zh"}
-_JOINED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
-_APART = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]"
+_JOINED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー]"
+_APART = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー]]"
 #: Matches nothing, ahead of each pair, lone character or word of other scripts.
 PAIRS = f"(?=({_JOINED}{{2}}|(?<!{_JOINED}){_JOINED}(?!{_JOINED})|(?<!{_APART}){_APART}+))"
 
