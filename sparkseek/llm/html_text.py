@@ -51,7 +51,8 @@ CLOSES["th"] = CLOSES["td"]
 #: Elements that an end tag inside them cannot reach past.
 SCOPE = frozenset("table td th caption html template".split())
 
-_TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*)(?:>|\Z))", re.S)
+_OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
@@ -78,6 +79,10 @@ def parse(page: str) -> Node:
             stack[-1].kids.append(html.unescape(page[at:]))
             break
         m = _TAG.match(page, lt)
+        if not m and _OPENS.match(page, lt):  # a value whose quote is never closed
+            if lt > at:
+                stack[-1].kids.append(html.unescape(page[at:lt]))
+            break
         if not m:  # a bare sign
             nxt = page.find("<", lt + 1)
             nxt = n if nxt < 0 else nxt
