@@ -108,7 +108,8 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
             for t in f["text"]:
                 seen.update(x for x in pre_tokens(t) if x and len(x) <= LONGEST)
         top = seen.most_common(entries)
-        yield pd.DataFrame({"p": [k for k, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame({"p": [k for k, _ in top], "n": [n for _, n in top]})
 
     rows = docs.count()
     part = docs.select("text").dropna().sample(False, min(1.0, sample_docs / max(rows, 1)), 11)
