@@ -91,4 +91,4 @@ def geo_text_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["geo_text_filters"] = geo_text_filters
 _N = "(SELECT count(*) FROM p)"
 ORACLES["geo_text_filters"] = f"""WITH {BASE}, w AS (SELECT ln(1 + 0.5 / ({_N} + 0.5)) AS idf)
-SELECT c_custkey, round(0.5 * idf * (0.5 + 2.2) / (1 + 1.2), 6) AS score FROM p CROSS JOIN w WHERE {metres_sql(48.8, 2.3)} <= 9000000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY seq LIMIT 30"""
+SELECT c_custkey, round(idf * (0.5 + 2.2) / (1 + 1.2), 6) AS score FROM p CROSS JOIN w WHERE {metres_sql(48.8, 2.3)} <= 9000000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY seq LIMIT 30"""
