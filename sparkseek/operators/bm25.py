@@ -103,7 +103,7 @@ def holds_exactly(index: Index, docs: DataFrame, q: TextQuery) -> DataFrame:
     """Documents one of whose stored searched fields has every word as it stands."""
     words = [w for w in re.split(r"\s+", q.term.strip()) if w]
     props = [p for p in searched(index, q.properties) if index.schema.fields[p] == "string"]
-    stored = [p for p in props if p not in index.excluded]
+    stored = [p for p in props if p.split(".")[0] in index.docs.columns]
     if len(stored) < len(props) or not words:
         return docs
     test = F.lit(False)

@@ -18,7 +18,7 @@ def order_keys() -> list[Column]:
 
 
 def _stored(index: Index, prop: str) -> None:
-    if prop.split(".")[0] in index.excluded:
+    if prop.split(".")[0] not in index.docs.columns:
         raise SeekError("PROPERTY_NOT_STORED", prop)
 
 
@@ -29,7 +29,8 @@ def facet(index: Index, hits: DataFrame, prop: str, spec: dict | None = None) ->
     """value, count. Text facets are ordered and paged, all others whole."""
     spec = spec or {}
     kind = index.schema.fields.get(prop)
-    _stored(index, prop)
+    if kind is not None:
+        _stored(index, prop)
     if kind in ("number", "number[]"):
         return _ranges(hits, prop, kind, spec.get("ranges", []))
     col = F.col(prop)

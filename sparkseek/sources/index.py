@@ -104,20 +104,22 @@ class Index:
         self._checked(rows)
         if not rows.join(self.docs.select("id"), "id", "left_semi").isEmpty() or not rows.groupBy("id").count().where("count > 1").isEmpty():
             raise SeekError("DOCUMENT_ALREADY_EXISTS")
-        return self._plus(self, rows)
+        return self._plus(rows, self.docs, self.postings)
 
     def remove(self, ids: DataFrame | list[str]) -> Index:
         if isinstance(ids, list):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
+        return self._version(*self._without(ids))
+
+    def _without(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Documents and postings without some ids."""
         gone = self.docs.join(ids.select("id"), "id", "left_semi").select("seq")
-        docs = self.docs.join(gone, "seq", "left_anti")
-        postings = self.postings.join(gone, "seq", "left_anti")
-        return self._version(docs, postings)
+        return self.docs.join(gone, "seq", "left_anti"), self.postings.join(gone, "seq", "left_anti")
 
     def upsert(self, rows: DataFrame) -> Index:
         """Rows with known ids take those documents' places; all come last in order."""
         self._checked(rows)
-        return self._plus(self.remove(rows.select("id").distinct()), rows)
+        return self._plus(rows, *self._without(rows.select("id").distinct()))
 
     update = upsert
 
@@ -127,14 +129,17 @@ class Index:
         if bad := self.schema.invalid(rows):
             raise SeekError("SCHEMA_VALIDATION_FAILURE", bad)
 
-    def _plus(self, base: Index, rows: DataFrame) -> Index:
+    def _plus(self, rows: DataFrame, docs: DataFrame, postings: DataFrame) -> Index:
         top = self.docs.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        return base.with_rows(ordered(rows, "id").withColumn("seq", F.col("seq") + top))
-
-    def with_rows(self, fresh: DataFrame) -> Index:
-        """A version with further rows, whose ids are new and whose seq is given."""
-        docs = self.docs.unionByName(fresh.drop(*self.excluded), allowMissingColumns=True)
-        return self._version(docs, self.postings.unionByName(build_postings(fresh, self.schema, self.analyzer)))
+        return self.with_rows(ordered(rows, "id").withColumn("seq", F.col("seq") + top), docs, postings)
+
+    def with_rows(self, fresh: DataFrame, docs: DataFrame | None = None, postings: DataFrame | None = None) -> Index:
+        """A version with further rows, whose ids are new and whose seq is given; in
+        place of its own, other documents and postings may be what they join."""
+        unstored = self.excluded | {f.split(".")[0] for f in self.schema.fields} - set(self.docs.columns)
+        docs = (self.docs if docs is None else docs).unionByName(fresh.drop(*unstored), allowMissingColumns=True)
+        postings = (self.postings if postings is None else postings).unionByName(build_postings(fresh, self.schema, self.analyzer))
+        return self._version(docs, postings)
 
     def _version(self, docs: DataFrame, postings: DataFrame) -> Index:
         n = docs.count()
@@ -145,6 +150,8 @@ class Index:
 def build_postings(docs: DataFrame, schema: SearchSchema, analyzer: Analyzer) -> DataFrame:
     parts = []
     for prop in schema.strings():
+        if prop.split(".")[0] not in docs.columns:
+            continue  # missing properties are legal
         words = analyzer.words(field_text(docs, prop, schema.fields[prop]), prop)
         rows = docs.where(F.col(prop).isNotNull()).select("seq", words.alias("w"))
         pairs = rows.select("seq", F.size("w").alias("len"), F.explode("w").alias("term"))
@@ -182,7 +189,8 @@ def field_averages(docs: DataFrame, postings: DataFrame, schema: SearchSchema, n
     props = schema.strings()
     if not props or not n_docs:
         return {}
-    there = docs.agg(*[F.count(p).alias(f"c{i}") for i, p in enumerate(props)]).first()
+    # Of a field that is not stored only its words are known: it counts as without gaps.
+    there = docs.agg(*[(F.count(p) if p.split(".")[0] in docs.columns else F.count("*")).alias(f"c{i}") for i, p in enumerate(props)]).first()
     sums = {r["prop"]: r["s"] for r in postings.groupBy("prop").agg(F.sum("tf").alias("s")).collect()}
     out = {}
     for i, p in enumerate(props):

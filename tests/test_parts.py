@@ -449,3 +449,21 @@ def test_measures(spark):
     assert got["q"] == {"query": "q", "ndcg": pytest.approx((2 / math.log2(3)) / ideal), "map": 0.25, "recall": 0.5, "precision": 0.1, "mrr": 0.5}
     assert got["empty"] == {"query": "empty", "ndcg": 0.0, "map": 0.0, "recall": 0.0, "precision": 0.0, "mrr": 0.0}
     assert got["z"]["ndcg"] is None and got["z"]["recall"] is None
+
+
+def test_unstored_fields_survive_changes_and_loading(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "red ring"), ("b", "blue ring")], "id string, text string")
+    db = Database.create(docs, {"text": "string"}, exclude=("text",))
+    db.insert(spark.createDataFrame([("c", "green ring")], "id string, text string")).remove(["a"])
+    assert "text" not in db.index.docs.columns
+    assert [h["id"] for h in db.search(term="ring").hits.collect()] == ["b", "c"]
+    db.save(f"file://{tmp_path}/i")
+    again = Database.load(spark, f"file://{tmp_path}/i")
+    assert [h["id"] for h in again.search(term="green", exact=True).hits.collect()] == ["c"]
+    assert code(lambda: R.facet(again.index, again.index.docs, "text")) == "PROPERTY_NOT_STORED"
+
+
+def test_rows_may_lack_properties(spark):
+    db = Database.create(spark.createDataFrame([("a", "red")], "id string, text string"), {"text": "string", "title": "string", "year": "number"})
+    db.insert(spark.createDataFrame([("b", 5.0)], "id string, year double"))
+    assert db.count() == 2 and [h["id"] for h in db.search(term="red").hits.collect()] == ["a"]
