@@ -25,8 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,8 +164,13 @@ def _broadcasts(model: DataFrame):
     langs = [r["lang"] for r in model.select("lang").distinct().orderBy("lang").toLocalIterator()]
     for i in range(0, len(langs), LANGUAGES):
         some = langs[i : i + LANGUAGES]
-        rows: pd.DataFrame = model.where(F.col("lang").isin(some)).toPandas()
-        packed = {k: tuple(g[c].to_numpy() for c in ("kind", "gram", "value")) for k, g in rows.groupby("lang")}
+        # As columns, not rows: the driver holds some ten bytes an n-gram.
+        rows = model.where(F.col("lang").isin(some)).toArrow()
+        packed = {}
+        for k in some:
+            own = rows.filter(pc.equal(rows["lang"], k))
+            packed[k] = tuple(own[c].to_numpy() for c in ("kind", "gram", "value"))
+        del rows
         yield some, model.sparkSession.sparkContext.broadcast(packed)
 
 
