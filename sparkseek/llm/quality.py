@@ -1,18 +1,26 @@
 """Quality classifier: a modified Kneser-Ney model of trusted text.
 
-One interpolated model of ORDER = 3 characters a language is trained on all
-trusted documents (labelled good and not toxic). Characters are folded into 128
-classes, so a model has at most 128^3 trigrams however large the corpus is.
+One interpolated model of three words a language is trained on all trusted
+documents (labelled good and not toxic). Words are told apart by 64 bits of hash
+and have no fixed vocabulary: the model grows with the trusted text. In scripts
+without spaces each character is a word, and so is each mark of punctuation.
 
-Training is counting and joining: tasks count the trigrams of their own text,
-the counts are summed in shards by (language, trigram), and discounts,
-continuation counts and back-off weights are aggregates of these shards joined
-to them. What comes out - the seen n-grams' probabilities, 2 million rows a
-language at most - is broadcast for LANGUAGES languages at a time (further ones
-take further scans), and each document is scored where it is read.
+Training is counting and joining: counts are summed in shards by (language,
+n-gram), and discounts, continuation counts and back-off weights are aggregates of
+these shards joined to them. Scoring joins with the model too. The log probability
+of a text is a sum over its n-grams of all orders, each with a weight of its own:
 
-A document is kept if its perplexity (per character) is not above the QUANTILE
-of the trusted documents of its language.
+    log p(w | u v) = p0 + t1(w) + b1(v) + t2(v w) + b2(u v) + t3(u v w)
+
+where b is the log of a context's back-off weight, t what a seen n-gram adds to
+backing off, and all but p0 are 0 for what was not seen. So documents send the
+n-grams that the model may have, once each, and add up what comes back. The
+weights of the HOT most frequent n-grams are broadcast, as these would gather in
+few tasks; this has no bearing on a result.
+
+A document is kept if its perplexity (per word) is not above the QUANTILE of the
+trusted documents of its language. For this quantile a trusted document is scored
+without the n-grams seen in it alone, as the model has not been trained on others.
 
 Defined results: a null or empty text has no perplexity and is kept, and so is a
 document in a language without trusted text; a null language is one of its own;
@@ -22,64 +30,87 @@ and counted each; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bit_filter, discard, mark, materialize, table
 
-CLASSES = 128
+#: What unseen words have is spread over so many: a prior, not a bound.
+CLASSES = 1 << 24
 QUANTILE = 0.98
-#: Languages whose models are broadcast together: 32 MB each at the very most.
+#: A task remembers the hashes of so many words: 16,384 for each of LANGUAGES.
 LANGUAGES = 32
+WORDS = LANGUAGES << 14
+HOT = 1 << 14
+#: Bits of the filter of n-grams that the model may have.
+BITS = 1 << 25
+
+_SPACELESS = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SPACELESS}]|[^\W{_SPACELESS}]+|[^\w\s]")
+_START, _END = 1, 2
+
+
+def _hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        h = self[word] = _hash(word)
+        return h
+
 
-_FREE = np.array([c for c in range(32) if c not in (9, 10, 13)], np.uint8)
+_hashes = _Hashes()
 
 
 def classes_of(text: str) -> np.ndarray:
-    """Class of each character, after two starting spaces."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.empty(len(cp) + 2, np.int32)
-    out[:2] = 32
-    out[2:] = np.where(cp < CLASSES, cp, _FREE[cp % len(_FREE)])
+    """Hash of each word, after two starts and before an end."""
+    words = _WORD.findall(text)
+    out = np.empty(len(words) + 3, np.int64)
+    out[:2], out[-1] = _START, _END
+    out[2:-1] = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
     return out
 
 
-def trigrams_of(text: str) -> np.ndarray:
-    c = classes_of(text)
-    return (c[:-2] << 14) | (c[1:-1] << 7) | c[2:]
+def _mix(a, b) -> np.ndarray:
+    z = (a ^ (b + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(29))
+
+
+def _key(lang: str, *words: np.ndarray) -> np.ndarray:
+    """64 bits for n-grams of a language."""
+    z = np.array([_hash(f"{lang}\0{len(words)}")], np.int64).view(np.uint64)
+    for w in words:
+        z = _mix(z, w.view(np.uint64))
+    return z.view(np.int64)
 
 
 def _counts(trusted: DataFrame) -> DataFrame:
-    """lang, gram, n: each task's own counts."""
+    """lang, u, v, w, n, only: each document's trigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in sums:
-                    if len(sums) >= LANGUAGES:
-                        for k in list(sums):
-                            yield _sparse(k, sums.pop(k))
-                    sums[lang] = np.zeros(CLASSES**3, np.int64)
-                g = trigrams_of(text)
-                if len(g) < 4096:
-                    np.add.at(sums[lang], g, 1)
-                else:
-                    sums[lang] += np.bincount(g, minlength=CLASSES**3)
-        for k, v in sums.items():
-            yield _sparse(k, v)
+            for lang, text, rid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = classes_of(text)
+                _, at, n = np.unique(_key(lang, c[:-2], c[1:-1], c[2:]), return_index=True, return_counts=True)
+                own = [pa.array([lang]).take(pa.array(np.zeros(len(at), np.int32))), *(pa.array(c[at + k]) for k in range(3)), pa.array(n.astype(np.int64)), pa.array(np.full(len(at), rid, np.int64))]
+                yield pa.RecordBatch.from_arrays(own, names=["lang", "u", "v", "w", "n", "only"])
 
-    return trusted.select("lang", "text").mapInArrow(run, "lang string, gram int, n long")
+    return trusted.select("lang", "text", "rid").mapInArrow(run, "lang string, u long, v long, w long, n long, only long")
 
 
-def _sparse(lang: str, sums: np.ndarray) -> pa.RecordBatch:
-    seen = np.flatnonzero(sums)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(sums[seen])], names=["lang", "gram", "n"])
+def _only() -> Column:
+    """The one document that an n-gram was seen in, or null."""
+    return F.when(F.bool_and(F.col("only").isNotNull()) & (F.min("only") == F.max("only")), F.min("only")).alias("only")
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -93,98 +124,83 @@ def _discounts(grams: DataFrame) -> DataFrame:
     return t.select("lang", *clean)
 
 
-def _order(grams: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
-    """Own mass of each n-gram, and the back-off weight of each context."""
-    g = grams.withColumn("context", F.expr(context)).join(_discounts(grams), "lang")
+def _order(grams: DataFrame, *context: str) -> tuple[DataFrame, DataFrame]:
+    """grams with their own mass and their context's back-off weight, and contexts."""
+    # One row a language.
+    g = grams.join(F.broadcast(_discounts(grams)), "lang")
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    g = g.withColumn("d", F.least(d, F.col("n").cast("double")))
-    totals = g.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("given"))
-    own = g.join(totals, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"))
-    return own, totals.select("lang", "context", (F.col("given") / F.col("total")).alias("back"))
-
-
-def train(trusted: DataFrame) -> DataFrame:
-    """lang, kind, gram, value: p of seen trigrams, bigrams and characters (kinds
-    3, 2, 1), back-off weights of two- and one-character contexts (kinds 20, 10)
-    and the mass of unseen characters (kind 0)."""
-    three = materialize(_counts(trusted).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    g = g.withColumn("d", F.least(d, F.col("n").cast("double"))).drop("d1", "d2", "d3")
+    totals = g.groupBy("lang", *context).agg(F.sum("n").alias("total"), F.sum("d").alias("given"), F.count("*").alias("kinds"), _only())
+    back = totals.withColumn("back", F.col("given") / F.col("total"))
+    of = back.select("lang", *context, "total", "back")
+    own = g.join(of if context else F.broadcast(of), ["lang", *context])
+    return own.withColumn("own", (F.col("n") - F.col("d")) / F.col("total")).drop("d", "total"), back
+
+
+def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, value, many, n: the weights of n-grams, and what of them was seen in
+    several documents; lang, p0: the log probability of an unseen word)."""
+    counts = _counts(trusted).groupBy("lang", "u", "v", "w").agg(F.sum("n").alias("n"), _only())
+    three = materialize(counts, "counts")
     # Lower orders count in how many contexts an n-gram was seen.
-    two = three.groupBy("lang", F.expr("gram & 16383").alias("gram")).agg(F.count("*").alias("n"))
-    one = two.groupBy("lang", F.expr("gram & 127").alias("gram")).agg(F.count("*").alias("n"))
-    own3, back3 = _order(three, "gram >> 7")
-    own2, back2 = _order(two, "gram >> 7")
-    own1, back1 = _order(one, "0")
-    p1 = own1.join(back1, "lang").select("lang", "gram", (F.col("own") + F.col("back") / CLASSES).alias("p"))
-    low = p1.select("lang", F.col("gram").alias("last"), F.col("p").alias("lower"))
-    p2 = own2.withColumn("context", F.expr("gram >> 7")).withColumn("last", F.expr("gram & 127")).join(back2, ["lang", "context"]).join(low, ["lang", "last"])
-    p2 = p2.select("lang", "gram", (F.col("own") + F.col("back") * F.col("lower")).alias("p"))
-    low = p2.select("lang", F.col("gram").alias("last"), F.col("p").alias("lower"))
-    p3 = own3.withColumn("context", F.expr("gram >> 7")).withColumn("last", F.expr("gram & 16383")).join(back3, ["lang", "context"]).join(low, ["lang", "last"])
-    p3 = p3.select("lang", "gram", (F.col("own") + F.col("back") * F.col("lower")).alias("p"))
-    parts = [(3, p3, "gram", "p"), (2, p2, "gram", "p"), (1, p1, "gram", "p"), (20, back3, "context", "back"), (10, back2, "context", "back"), (0, back1, "context", "back")]
-    rows = [df.select("lang", F.lit(k).alias("kind"), F.col(g).cast("int").alias("gram"), F.col(v).cast("float").alias("value")) for k, df, g, v in parts]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionAll(r)
-    return out
-
-
-def dense(kind: np.ndarray, gram: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """-log p of all 128^3 trigrams of a language."""
-
-    def put(k: int, start: np.ndarray) -> np.ndarray:
-        start[gram[kind == k]] = value[kind == k]
-        return start
+    two = three.groupBy("lang", "v", "w").agg(F.count("*").alias("n"), _only())
+    one = two.groupBy("lang", "w").agg(F.count("*").alias("n"), _only())
+    own1, back1 = _order(one)
+    own2, back2 = _order(two, "v")
+    own3, back3 = _order(three, "u", "v")
+    base = F.col("back") / CLASSES
+    p1 = own1.withColumn("p", F.col("own") + base).withColumn("value", F.log1p(F.col("own") / base))
+    lower = lambda p, *by: p.select("lang", *by, F.col("p").alias("lower"))
+    rest = F.col("back") * F.col("lower")
+    add = lambda own: own.withColumn("p", F.col("own") + rest).withColumn("value", F.log1p(F.col("own") / rest))
+    p2 = add(own2.join(lower(p1, "w"), ["lang", "w"]))
+    p3 = add(own3.join(lower(p2, "v", "w"), ["lang", "v", "w"]))
+    none, log = F.lit(None).cast("long"), F.log("back").alias("value")
+    parts = [
+        p3.select("lang", "u", "v", "w", "value", "n", "only"),
+        p2.select("lang", none, "v", "w", "value", "n", "only"),
+        p1.select("lang", none, none, "w", "value", "n", "only"),
+        back3.select("lang", none, "u", "v", log, "kinds", "only"),
+        back2.select("lang", none, none, "v", log, "kinds", "only"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionAll(p)
 
-    p1 = put(1, np.full(CLASSES, put(0, np.ones(1))[0] / CLASSES))
-    p2 = put(2, np.outer(put(10, np.ones(CLASSES)), p1).ravel())
-    back = put(20, np.ones(CLASSES**2)).reshape(CLASSES, CLASSES, 1)
-    p3 = put(3, (back * p2.reshape(1, CLASSES, CLASSES)).ravel())
-    return -np.log(p3, dtype=np.float32)
-
-
-class Model:
-    """Perplexities under the broadcast models; tables are made when first used."""
-
-    def __init__(self, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.models, self.tables = models, {}
-
-    def perplexity(self, lang: str, text: str | None) -> float | None:
-        if not text or lang not in self.models:
-            return None
-        if lang not in self.tables:
-            if len(self.tables) >= 8:
-                self.tables.clear()
-            self.tables[lang] = dense(*self.models[lang])
-        return float(np.exp(self.tables[lang][trigrams_of(text)].mean(dtype=np.float64)))
-
-
-def _broadcasts(model: DataFrame):
-    """The models in batches of LANGUAGES languages."""
-    langs = [r["lang"] for r in model.select("lang").distinct().orderBy("lang").toLocalIterator()]
-    for i in range(0, len(langs), LANGUAGES):
-        some = langs[i : i + LANGUAGES]
-        # As columns, not rows: the driver holds some ten bytes an n-gram.
-        rows = model.where(F.col("lang").isin(some)).toArrow()
-        packed = {}
-        for k in some:
-            own = rows.filter(pc.equal(rows["lang"], k))
-            packed[k] = tuple(own[c].to_numpy() for c in ("kind", "gram", "value"))
-        del rows
-        yield some, model.sparkSession.sparkContext.broadcast(packed)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, have = batch.column(0), [~c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns[1:4]]
+            words = [c.fill_null(0).to_numpy() for c in batch.columns[1:4]]
+            out = np.empty(batch.num_rows, np.int64)
+            names = np.array(lang.to_pylist(), object)
+            for name in set(names.tolist()):
+                for k, some in enumerate((have[0], have[1] & ~have[0], ~have[1])):
+                    at = np.flatnonzero((names == name) & some)
+                    out[at] = _key(name, *(w[at] for w in words[k:]))
+            yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns[4:]], names=["key", "value", "n", "only"])
+
+    keyed = rows.mapInArrow(run, "key long, value double, n long, only long").groupBy("key")
+    # A word or pair has what it adds and what it has as a context under one key.
+    seen = F.when(F.col("only").isNull(), F.col("value")).otherwise(0.0)
+    weights = keyed.agg(F.sum("value").cast("float").alias("value"), F.sum(seen).cast("float").alias("many"), F.max("n").alias("n"))
+    return weights, back1.select("lang", F.log(base).alias("p0"))
 
 
 def _lang(docs: DataFrame):
     return F.coalesce(docs["lang"], F.lit(""))
 
 
+def _rid(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), _lang(docs), docs["text"])
+
+
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """lang, text of the documents whose labels all say good and not toxic."""
+    """lang, text, rid of the documents whose labels all say good and not toxic."""
     good = trusted_ids(labels)
     maybe = bit_filter(good, "trusted_id")
-    d = docs.select(F.col("doc_id").cast("long"), _lang(docs).alias("lang"), "text").where("text <> ''").where(maybe(F.col("doc_id")))
+    d = docs.select(F.col("doc_id").cast("long"), _lang(docs).alias("lang"), "text", _rid(docs).alias("rid")).where("text <> ''").where(maybe(F.col("doc_id")))
     # By a shuffle of the few texts at any size: which texts are trusted has no bound.
-    return d.join(good.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi").select("lang", "text")
+    return d.join(good.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi").select("lang", "text", "rid")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -192,14 +208,37 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return one.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0").select("trusted_id")
 
 
-def _scored(docs: DataFrame, sent) -> DataFrame:
+def _asked(rows: DataFrame, sent) -> DataFrame:
+    """A row for each n-gram of each document that is not hot (rid, key, n), and one
+    for the document with what the others give: of that, lang is not null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(sent.value)
+        p0, hot, value, many = sent.value
         for batch in batches:
-            p = [model.perplexity(k, t.as_py()) for k, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], names=["doc_id", "lang", "perplexity"])
-
-    return docs.mapInArrow(run, "doc_id long, lang string, perplexity double")
+            for doc_id, lang, text, rid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, counts, total, s, m = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0.0, 0.0
+                if text and lang in p0:
+                    c = classes_of(text)
+                    total = len(c) - 2
+                    every = np.concatenate([_key(lang, c[1:]), _key(lang, c[:-1], c[1:]), _key(lang, c[:-2], c[1:-1], c[2:])])
+                    keys, counts = np.unique(every, return_counts=True)
+                    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                    known = hot[at] == keys
+                    n = counts[known]
+                    s, m = (float(total * p0[lang] + (v[at[known]] * n).sum()) for v in (value, many))
+                    keys, counts = keys[~known], counts[~known]
+                k = len(keys)
+                nothing = lambda t: pa.nulls(k, t)
+                one = lambda x, t: pa.array([x], t)
+                parts = [
+                    pa.array(np.full(k + 1, rid, np.int64)),
+                    pa.array(np.append(keys, rid)),
+                    pa.array(np.append(counts, total).astype(np.int64)),
+                    *(pa.concat_arrays([nothing(t), one(x, t)]) for x, t in ((s, pa.float64()), (m, pa.float64()), (doc_id, pa.int64()), (lang, pa.string()))),
+                ]
+                yield pa.RecordBatch.from_arrays(parts, names=["rid", "key", "n", "s", "m", "doc_id", "lang"])
+
+    return rows.mapInArrow(run, "rid long, key long, n long, s double, m double, doc_id long, lang string")
 
 
 class Classifier:
@@ -207,46 +246,50 @@ class Classifier:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
         start = mark()
-        model = materialize(train(trusted_text(docs, labels)), "language-models")
-        self.batches = list(_broadcasts(model))
-        discard(docs.sparkSession, start)
-        self.known = [k for some, _ in self.batches for k in some]
-        rows = docs.select(F.col("doc_id").cast("long"), _lang(docs).alias("lang"), "text")
-        parts = [_scored(rows.where(F.col("lang").isin(some)), sent) for some, sent in self.batches]
-        parts.append(rows.where(~F.col("lang").isin(self.known)).select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity")))
-        scores = parts[0]
-        for p in parts[1:]:
-            scores = scores.unionAll(p)
-        self.scores = materialize(scores, "perplexities")
-        known = self.scores.join(trusted_ids(labels), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+        weights, base = train(trusted_text(docs, labels))
+        base = materialize(base, "unseen-words")
+        model = materialize(weights, "language-models")
+        p0 = {r["lang"]: r["p0"] for r in base.toLocalIterator()}
+        hot = model.orderBy(F.desc("n"), "key").limit(HOT).select("key", "value", "many").toArrow()
+        hot = hot.sort_by("key")
+        arrays = [hot[c].to_numpy().astype(t) for c, t in (("key", np.int64), ("value", np.float64), ("many", np.float64))]
+        sent = docs.sparkSession.sparkContext.broadcast((p0, *arrays))
+        rows = docs.select(F.col("doc_id").cast("long"), _lang(docs).alias("lang"), "text", _rid(docs).alias("rid"))
+        maybe = bit_filter(model, "key", BITS)
+        asked = _asked(rows, sent).where(F.col("lang").isNotNull() | maybe(F.col("key")))
+        told = asked.join(model.select("key", "value", "many").hint("merge"), "key", "left")
+        whole = F.col("lang").isNotNull()
+        got = lambda own, w: F.sum(F.when(whole, F.col(own)).otherwise(F.coalesce(F.col(w), F.lit(0.0)) * F.col("n")))
+        sums = told.groupBy("rid").agg(
+            F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.count("lang").cast("int").alias("copies"), F.sum(F.when(whole, F.col("n"))).alias("total"), got("s", "value").alias("s"), got("m", "many").alias("m")
+        )
+        per_word = lambda c: F.when(F.col("total") > 0, F.exp(-F.col(c) / F.col("total")))
+        self.scores = materialize(sums.select("rid", "doc_id", "lang", "copies", per_word("s").alias("perplexity"), per_word("m").alias("held_out")), "perplexities")
+        discard(docs.sparkSession, start, self.scores)
+        known = self._rows().join(trusted_ids(labels), F.col("doc_id") == F.col("trusted_id"), "left_semi").where("perplexity IS NOT NULL")
         # One row a language.
-        self.thresholds = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+        self.thresholds = known.groupBy("lang").agg(F.percentile_approx("held_out", quantile, 10_000).alias("threshold"))
+
+    def _rows(self) -> DataFrame:
+        """scores, a row for each of repeated documents."""
+        return self.scores.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")
+
+    def _judged(self) -> DataFrame:
+        # A row for each language that has trusted text.
+        out = self._rows().join(F.broadcast(self.thresholds), "lang", "left")
+        return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
     def judged(self) -> DataFrame:
         """doc_id, lang, perplexity, threshold, kept."""
-        # A row for each language that has trusted text.
-        out = self.scores.join(F.broadcast(self.thresholds), "lang", "left")
-        return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+        return self._judged().select("doc_id", "lang", "perplexity", "threshold", "kept")
 
     def accepted(self, docs: DataFrame) -> DataFrame:
-        """The documents kept, with all their columns; scored where they are read."""
-        limits = {r["lang"]: r["threshold"] for r in self.thresholds.where(F.col("lang").isin(self.known)).collect()}
-        at_lang, at_text = docs.columns.index("lang"), docs.columns.index("text")
-        known = _lang(docs).isin(self.known)
-        out = docs.where(~known)
-        for some, sent in self.batches:
-
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                model = Model(sent.value)
-                for batch in batches:
-                    keep = []
-                    for k, t in zip(batch.column(at_lang).to_pylist(), batch.column(at_text), strict=True):
-                        p = model.perplexity(k or "", t.as_py())
-                        keep.append(p is None or p <= limits.get(k or "", np.inf))
-                    yield batch.filter(pa.array(keep, pa.bool_()))
-
-            out = out.unionAll(docs.where(_lang(docs).isin(some)).mapInArrow(run, docs.schema))
-        return out
+        """The documents kept, with all their columns."""
+        gone = materialize(self._judged().where("NOT kept").select(F.col("rid").alias("_rid")).distinct(), "rejected")
+        maybe = bit_filter(gone, "_rid")
+        keyed = docs.withColumn("_rid", _rid(docs))
+        told = keyed.where(maybe(F.col("_rid"))).join(gone, "_rid", "left_anti")
+        return keyed.where(~maybe(F.col("_rid"))).select(*docs.columns).unionAll(told.select(*docs.columns))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

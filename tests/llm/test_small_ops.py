@@ -293,6 +293,27 @@ def test_without_trusted_text_all_are_kept(spark, documents):
     assert quality.Classifier(df.where("false"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).judged().count() == 0
 
 
+def test_the_model_tells_words_and_scripts_apart(spark, documents, prose):
+    words = prose.words(30)
+    docs = [(i, " ".join(prose.rng.sample(words, 20)), "en") for i in range(30)]
+    # The same characters in other words, and one Chinese text beside other characters.
+    docs += [(100, docs[0][1], "en"), (101, docs[0][1].translate(str.maketrans("aeiou", "ouaei")), "en")]
+    docs += [(200 + i, "天地玄黄宇宙洪荒" * 3, "zh") for i in range(4)] + [(300, "天地玄黄宇宙洪荒", "zh"), (301, "日月盈昃辰宿列张", "zh")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(30), *range(200, 204)]], "doc_id long, quality int, toxic int")
+    p = {r["doc_id"]: r["perplexity"] for r in quality.Classifier(documents(docs), labels).judged().collect()}
+    assert p[101] > 1000 * p[100] and p[301] > 1000 * p[300]
+    # What is counted grows with the words: no two of these share a class.
+    assert len(set(quality.classes_of(" ".join(f"w{i}" for i in range(5000))).tolist())) == 5002
+
+
+def test_unseen_good_text_is_not_judged_by_what_was_trained_on(spark, documents, prose):
+    words = prose.words(400)
+    docs = [(i, " ".join(prose.rng.choices(words, k=60)), "en") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = [r["doc_id"] for r in quality.Classifier(documents(docs), labels).judged().where("kept").collect()]
+    assert len([i for i in kept if i >= 60]) >= 50
+
+
 # -- fingerprints --------------------------------------------------------------------------
 
 
