@@ -126,12 +126,12 @@ QUERIES["knn_ivf_all"], ORACLES["knn_ivf_all"] = knn_ivf_all, f"WITH {BASE} SELE
 
 
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest clusters only (tests hold the recall)."""
+    """The clusters that may hold what is asked (tests hold the recall)."""
     return scored(_ivf(spark, sf_dir).search(query_vector(spark, sf_dir), 0.1).withColumn("vec_id", F.col("seq") - 1), "vec_id")
 
 
 def knn_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product codes, then exact scores of ten times as many (tests hold the recall)."""
+    """Product codes, then exact scores of all that may be among the best (tests hold the recall)."""
     pq = kept(spark, sf_dir, "embeddings in product codes", lambda: VS.ProductQuantizer(embeddings(spark, sf_dir), "embedding"))
     return scored(pq.search(query_vector(spark, sf_dir), 10).withColumn("vec_id", F.col("seq") - 1), "vec_id")
 

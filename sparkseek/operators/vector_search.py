@@ -14,6 +14,8 @@ from ..sources.index import Index, vectors
 
 SIMILARITY = 0.8
 OVERSAMPLE, RESCORE_MARGIN = 10, 0.15
+#: What bounds allow for rounding.
+SLACK = 1e-3
 
 
 def _query(index: Index, prop: str, value: list[float]) -> list[float] | None:
@@ -56,15 +58,42 @@ def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 class Ivf:
-    """Vectors dealt to clusters; a query reads the clusters nearest to it."""
+    """Vectors dealt to clusters; a query reads the clusters that may hold what it asks.
+
+    Those are the clusters whose centroid is within the angle of the similarity and
+    the cluster's own radius: nothing is missed. With nprobe, only the so many
+    nearest are read, and what lies in others is.
+    """
 
     def __init__(self, index: Index, prop: str, nlist: int = 64, nprobe: int | None = None):
         self.index, self.prop = index, prop
         rows = vectors(index, prop)
         self.nlist = max(1, min(nlist, rows.count()))
-        self.nprobe = nprobe or min(max(self.nlist // 4, 1), 32)
+        self.nprobe = nprobe
         self.centroids = kmeans(rows, self.nlist)
         self.rows = assign(rows, self.centroids)
+        self.radius = self._radii()
+
+    def _radii(self) -> np.ndarray:
+        """The largest angle between each centroid and a vector of its cluster."""
+        centroids = self.centroids
+
+        @F.pandas_udf("double")
+        def angle(v: pd.Series, cluster: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype="float64")
+            dots = (np.stack(v.to_numpy()) * centroids[cluster.to_numpy()]).sum(axis=1)
+            return pd.Series(np.arccos(np.clip(dots, -1, 1)))
+
+        # One row a cluster.
+        most = {r["cluster"]: r["a"] for r in self.rows.groupBy("cluster").agg(F.max(angle("v", "cluster")).alias("a")).collect()}
+        return np.array([most.get(c, -np.inf) for c in range(len(centroids))])
+
+    def probed(self, q: list[float], similarity: float) -> list[int]:
+        """Clusters that may hold a vector so similar to the unit vector q."""
+        angles = np.arccos(np.clip(self.centroids @ np.array(q), -1, 1))
+        # Unit vectors in float are not quite of length 1.
+        return np.flatnonzero(angles - self.radius <= np.arccos(np.clip(similarity, -1, 1)) + SLACK).tolist()
 
     def save(self, path: str) -> None:
         self.rows.write.mode("overwrite").partitionBy("cluster").parquet(path)
@@ -74,7 +103,8 @@ class Ivf:
         q = _query(self.index, self.prop, value)
         if q is None:
             return self.rows.select("seq", F.lit(0.0).alias("score")).where("false")
-        probed = np.argsort(-(self.centroids @ np.array(q)), kind="stable")[: nprobe or self.nprobe].tolist()
+        some = nprobe or self.nprobe
+        probed = np.argsort(-(self.centroids @ np.array(q)), kind="stable")[:some].tolist() if some else self.probed(q, similarity)
         near = self.rows.where(F.col("cluster").isin(probed))
         return near.select("seq", V.clamped(V.dot(F.col("v"), V.literal(q))).alias("score")).where(F.col("score") >= similarity)
 
@@ -118,7 +148,11 @@ def int8(index: Index, prop: str, value: list[float], k: int | None = None, resc
 
 
 class ProductQuantizer:
-    """m codebooks of up to 256 centroids each; scores by table lookups."""
+    """m codebooks of up to 256 centroids each; scores by table lookups.
+
+    A row has the length `off` of what its code leaves out, which bounds how far the
+    score by code can be from the exact one.
+    """
 
     def __init__(self, index: Index, prop: str, m: int = 8, ks: int = 32, seed: int = 7, sample: int = 20_000):
         self.index, self.prop = index, prop
@@ -147,13 +181,16 @@ class ProductQuantizer:
     def _encoded(self, rows: DataFrame) -> DataFrame:
         books, width = self.books, self.width
 
-        @F.pandas_udf("binary")
-        def code(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy()) if len(v) else np.empty((0, width * len(books)))
-            near = [((x[:, None, j * width : (j + 1) * width] - b[None]) ** 2).sum(axis=2).argmin(axis=1) for j, b in enumerate(books)]
-            return pd.Series([bytes(r) for r in np.stack(near, axis=1).astype(np.uint8)]) if len(v) else pd.Series([], dtype=object)
+        @F.pandas_udf("code binary, off double")
+        def code(v: pd.Series) -> pd.DataFrame:
+            if not len(v):
+                return pd.DataFrame({"code": pd.Series([], dtype=object), "off": pd.Series([], dtype="float64")})
+            x = np.stack(v.to_numpy())
+            far = [((x[:, None, j * width : (j + 1) * width] - b[None]) ** 2).sum(axis=2) for j, b in enumerate(books)]
+            near = np.stack([f.argmin(axis=1) for f in far], axis=1).astype(np.uint8)
+            return pd.DataFrame({"code": [bytes(r) for r in near], "off": np.sqrt(sum(f.min(axis=1).astype(np.float64) for f in far))})
 
-        return rows.withColumn("code", code("v"))
+        return rows.withColumn("_c", code("v")).select(*rows.columns, "_c.code", "_c.off")
 
     def search(self, value: list[float], k: int, oversample: int = OVERSAMPLE) -> DataFrame:
         q = _query(self.index, self.prop, value) or []
@@ -164,8 +201,14 @@ class ProductQuantizer:
             c = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
             return pd.Series(lut[np.arange(lut.shape[0])[None, :], c].sum(axis=1))
 
-        best = self.rows.withColumn("s", score("code")).orderBy(F.desc("s"), "seq").limit(k * oversample)
-        return best.select("seq", V.clamped(V.dot(F.col("v"), V.literal(q))).alias("score")).orderBy(F.desc(F.round("score", 9)), "seq").limit(k)
+        coded, exact = self.rows.withColumn("s", score("code")), V.clamped(V.dot(F.col("v"), V.literal(q)))
+        some = coded.orderBy(F.desc("s"), "seq").limit(k * oversample).select(exact.alias("score"))
+        # The k-th best of these is at most the k-th best of all: what cannot reach it
+        # is none of the k.
+        least = some.orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        if least["n"] == k:
+            coded = coded.where(F.col("s") + F.col("off") >= least["least"] - SLACK)
+        return coded.select("seq", exact.alias("score")).orderBy(F.desc(F.round("score", 9)), "seq").limit(k)
 
 
 def hybrid(text: DataFrame, near: DataFrame, weights: tuple[float, float] | None = None) -> DataFrame:

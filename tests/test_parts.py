@@ -209,6 +209,24 @@ def test_clustered_search_finds_most(clustered):
         assert vector_search.recall_at(ivf.search(q, 0.5, nprobe=12), vector_search.flat(ix, "v", q, 0.5)) == 1.0
 
 
+def test_vectors_without_clusters_are_all_found(spark):
+    rng = random.Random(5)
+    rows = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(1500)]
+    ix = Index.build(spark.createDataFrame([(i + 1, r) for i, r in enumerate(rows)], "seq long, v array<float>"), {"v": "vector[64]"})
+    ivf, pq = vector_search.Ivf(ix, "v", nlist=16), vector_search.ProductQuantizer(ix, "v")
+    order = [F.desc(F.round("score", 9)), F.asc("seq")]
+    for q in (rows[7], rows[400]):
+        assert vector_search.recall_at(ivf.search(q, 0.1), vector_search.flat(ix, "v", q, 0.1)) == 1.0
+        assert vector_search.recall_at(pq.search(q, 10), vector_search.flat(ix, "v", q, -1.0).orderBy(*order).limit(10)) == 1.0
+
+
+def test_clusters_out_of_reach_are_not_read(clustered):
+    ix, rows = clustered
+    ivf, q = vector_search.Ivf(ix, "v", nlist=12), V.unit(rows[5])
+    assert 0 < len(ivf.probed(q, 0.95)) < 12
+    assert vector_search.recall_at(ivf.search(rows[5], 0.95), vector_search.flat(ix, "v", rows[5], 0.95)) == 1.0
+
+
 def test_vector_errors(clustered):
     ix, rows = clustered
     assert code(lambda: vector_search.flat(ix, "none", rows[0])) == "UNKNOWN_VECTOR_PROPERTY"
