@@ -206,14 +206,17 @@ def test_the_fast_tokenizer_agrees(prose):
 # -- quality -------------------------------------------------------------------------------
 
 
+def grams_of(text):
+    """Each code point and the end, after its context."""
+    c = [None] * (quality.ORDER - 1) + list(text) + ["end"]
+    return [tuple(c[i : i + quality.ORDER]) for i in range(len(text) + 1)]
+
+
 def plain_model(texts, classes=quality.CLASSES):
-    """Interpolated modified Kneser-Ney of order three over the classes, in loops."""
-    grams = Counter()
-    for t in texts:
-        c = quality.classes_of(t).tolist()
-        grams.update(zip(c, c[1:], c[2:], strict=False))
-    two = Counter(g[1:] for g in grams)
-    one = Counter(g[1:] for g in two)
+    """Interpolated modified Kneser-Ney of code points, in loops."""
+    orders = [Counter(g for t in texts for g in grams_of(t))]
+    for _ in range(quality.ORDER - 1):
+        orders.insert(0, Counter(g[1:] for g in orders[0]))
 
     def discounts(counts):
         n = Counter(counts.values())
@@ -225,7 +228,7 @@ def plain_model(texts, classes=quality.CLASSES):
         return lambda c: min(out[min(c, 3) - 1], c)
 
     levels = []
-    for counts in (one, two, grams):
+    for counts in orders:
         d = discounts(counts)
         total, given = Counter(), Counter()
         for g, c in counts.items():
@@ -236,7 +239,7 @@ def plain_model(texts, classes=quality.CLASSES):
     def p(gram):
         prob = 1 / classes
         for k, (counts, d, total, given) in enumerate(levels):
-            g = tuple(gram[2 - k :])
+            g = gram[quality.ORDER - 1 - k :]
             ctx = g[:-1]
             if total[ctx]:
                 own = (counts[g] - d(counts[g])) / total[ctx] if counts[g] else 0.0
@@ -244,13 +247,18 @@ def plain_model(texts, classes=quality.CLASSES):
         return prob
 
     def perplexity(text):
-        c = quality.classes_of(text).tolist()
-        logs = [-math.log(p(g)) for g in zip(c, c[1:], c[2:], strict=False)]
+        logs = [-math.log(p(g)) for g in grams_of(text)]
         return math.exp(sum(logs) / len(logs))
 
     return perplexity
 
 
+def trained_on(spark, docs, ids):
+    """Of the trusted documents, the texts that are not held out."""
+    rows = spark.createDataFrame([(i, t) for i, t, *_ in docs if i in ids], "i long, text string")
+    return [r["text"] for r in rows.where(~quality._held(rows)).orderBy("i").collect()]
+
+
 def corpus(prose):
     good = [(i, prose.text(60), "en") for i in range(40)]
     junk = [(100 + i, "".join(prose.rng.choice("%$#@!{}~^zxq0189") for _ in range(300)), "en") for i in range(10)]
@@ -259,12 +267,14 @@ def corpus(prose):
     return good + junk + others, labels
 
 
-def test_perplexities_are_those_of_plain_loops(spark, documents, prose):
+@pytest.mark.parametrize("hot", [0, 64, quality.HOT])
+def test_perplexities_are_those_of_plain_loops(spark, documents, prose, monkeypatch, hot):
+    monkeypatch.setattr(quality, "HOT", hot)
     docs, labels = corpus(prose)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = quality.Classifier(documents(docs), table).judged().collect()
     assert len(got) == len(docs)
-    want = plain_model([t for i, t, _ in docs[:30]])
+    want = plain_model(trained_on(spark, docs, range(30)))
     text = {i: t for i, t, _ in docs if i != 204}
     for r in got:
         if r["lang"] == "en" and text.get(r["doc_id"]):
@@ -275,8 +285,35 @@ def test_perplexities_are_those_of_plain_loops(spark, documents, prose):
     assert not kept & set(range(100, 110)) and len(kept & set(range(30))) >= 29
 
 
-def test_accepted_documents_are_whole(spark, documents, prose, monkeypatch):
-    monkeypatch.setattr(quality, "LANGUAGES", 1)
+def test_scripts_stay_apart_and_long_texts_are_whole(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(quality, "HOT", 32)
+    scripts = {"ru": "абвгдеёжзийклмнопрст ", "zh": "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "ar": "ابتثجحخدذرزسشصضطظعغ ", "x😀": "😀😁😂🤣😃 "}
+    docs, good = [], {}
+    for k, (lang, letters) in enumerate(scripts.items()):
+        good[lang] = range(k * 100, k * 100 + 25)
+        docs += [(i, "".join(prose.rng.choices(letters, k=80)), lang) for i in good[lang]]
+        # The same text under every language.
+        docs += [(k * 100 + 50 + j, "天地 玄黄 абв 😀", lang) for j in range(2)]
+    docs.append((999, "".join(prose.rng.choices(scripts["zh"], k=quality.CHUNK + 1000)), "zh"))
+    labels = spark.createDataFrame([(i, 1, 0) for ids in good.values() for i in ids], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.Classifier(documents(docs), labels).judged().collect()}
+    assert len(got) == len(docs)
+    for lang, ids in good.items():
+        want = plain_model(trained_on(spark, docs, ids))
+        for i, t, own in docs:
+            if own == lang:
+                assert got[i]["perplexity"] == pytest.approx(want(t), rel=1e-3)
+
+
+def test_more_languages_than_any_fixed_number(spark, documents, prose):
+    docs = [(100 * k + i, prose.text(20), f"l{k}") for k in range(40) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in docs], "doc_id long, quality int, toxic int")
+    out = quality.Classifier(documents(docs), labels)
+    assert out.thresholds.count() >= 25
+    assert out.judged().where("perplexity IS NULL").count() == 0
+
+
+def test_accepted_documents_are_whole(spark, documents, prose):
     docs, labels = corpus(prose)
     df = documents([*docs, *[(300 + i, prose.text(40), "fr") for i in range(5)]])
     table = spark.createDataFrame([*labels, (300, 1, 0), (301, 1, 0)], "doc_id long, quality int, toxic int")
@@ -293,17 +330,13 @@ def test_without_trusted_text_all_are_kept(spark, documents):
     assert quality.Classifier(df.where("false"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).judged().count() == 0
 
 
-def test_the_model_tells_words_and_scripts_apart(spark, documents, prose):
-    words = prose.words(30)
-    docs = [(i, " ".join(prose.rng.sample(words, 20)), "en") for i in range(30)]
-    # The same characters in other words, and one Chinese text beside other characters.
-    docs += [(100, docs[0][1], "en"), (101, docs[0][1].translate(str.maketrans("aeiou", "ouaei")), "en")]
-    docs += [(200 + i, "天地玄黄宇宙洪荒" * 3, "zh") for i in range(4)] + [(300, "天地玄黄宇宙洪荒", "zh"), (301, "日月盈昃辰宿列张", "zh")]
-    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(30), *range(200, 204)]], "doc_id long, quality int, toxic int")
-    p = {r["doc_id"]: r["perplexity"] for r in quality.Classifier(documents(docs), labels).judged().collect()}
-    assert p[101] > 1000 * p[100] and p[301] > 1000 * p[300]
-    # What is counted grows with the words: no two of these share a class.
-    assert len(set(quality.classes_of(" ".join(f"w{i}" for i in range(5000))).tolist())) == 5002
+def test_the_model_grows_with_the_text(spark, documents, prose):
+    sizes = []
+    for n in (20, 200):
+        df = documents([(i, prose.text(40)) for i in range(n)])
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+        sizes.append(quality.train(quality.trusted_text(df, labels))[0].count())
+    assert sizes[1] > 1.5 * sizes[0]
 
 
 def test_unseen_good_text_is_not_judged_by_what_was_trained_on(spark, documents, prose):
