@@ -514,6 +514,8 @@ class Classifier:
         spark, start = docs.sparkSession, mark()
         model, base = train(trusted_text(docs, labels))
         p0 = {r["lang"]: r["p0"] for r in base.toLocalIterator()}
+        model = materialize(model, "language-models")
+        discard(spark, start, model)  # and the shuffle files of training
         hot, rest, n = _hot(model)
         shards = pieces(n, SHARD)
         sent = spark.sparkContext.broadcast((p0, hot))
