@@ -9,6 +9,7 @@ import os
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 
 def connection(sf_dir: str):
@@ -32,6 +33,10 @@ def _plain(x):
     return str(x)
 
 
-def rows(frame: pd.DataFrame) -> list[tuple]:
+def rows(frame: pd.DataFrame | pa.Table) -> list[tuple]:
+    """Of an Arrow table each value keeps its type, null or not."""
+    if isinstance(frame, pa.Table):
+        names = sorted(frame.column_names)
+        return sorted(tuple(map(_plain, r)) for r in zip(*(frame[c].to_pylist() for c in names), strict=True))
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(_plain, r)) for r in frame.itertuples(index=False))
