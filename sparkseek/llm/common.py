@@ -29,14 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Options of tables of hashes, which neither a dictionary nor compression shortens.
+HASHES = {"parquet.enable.dictionary": "false", "compression": "none"}
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Lineage ends at the files, so a lost executor costs only its own tasks.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     out = spark.read.parquet(path)
     out._written_at = path

@@ -57,8 +57,9 @@ HELD_OUT = 10
 CLASSES = 0x110000
 #: Most entries of the table that is broadcast: 12 bytes each, four slots an entry.
 HOT = 1 << 18
-#: Code points that are worked on at once, n-grams a task gathers, n-grams a shard.
-CHUNK, GATHERED, SHARD = 1 << 18, 1 << 20, 1 << 17
+#: Code points that are worked on at once, n-grams a task gathers, n-grams a shard,
+#: documents that ask it (unless a task would ask each for less than 256 n-grams).
+CHUNK, GATHERED, SHARD, ASKING = 1 << 18, 1 << 20, 1 << 17, 1 << 12
 #: Noncharacters: no text has them for text.
 START, END = "\ufdd0", "\ufdd1"
 
@@ -517,7 +518,8 @@ class Classifier:
         model = materialize(model, "language-models")
         discard(spark, start, model)  # and the shuffle files of training
         hot, rest, n = _hot(model)
-        shards = pieces(n, SHARD)
+        # As many as the model needs, or more for what many documents ask.
+        shards = max(pieces(n, SHARD), min(pieces(docs.count(), ASKING), GATHERED >> 8))
         sent = spark.sparkContext.broadcast((p0, hot))
         rows = docs.select(F.col("doc_id").cast("long"), _lang(docs).alias("lang"), "text", _rid(docs).alias("rid"), _held(docs).alias("held"))
         both = _asked(rows, sent, shards).unionByName(_sharded(rest, shards))

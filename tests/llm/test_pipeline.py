@@ -17,8 +17,8 @@ def test_one_query_an_operator():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_beside_its_sql(name, spark, data):
-    got = QUERIES[name](spark, data).toPandas()
-    want = oracle.connection(data).execute(SQL[name]).df()
+    got = QUERIES[name](spark, data).toArrow()
+    want = oracle.connection(data).sql(SQL[name]).to_arrow_table()
     assert oracle.rows(got) == oracle.rows(want)
 
 
