@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster has to name a folder that its machines share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkseek-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WINDOW = 10
 #: Items travel to the workers in blocks of so many bytes of text; each block is
@@ -155,9 +155,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
         return _scan(docs, first, window)
-    # Rows are told apart by their place in the scan, so repeated ids stay apart.
-    # Each further block is a scan whose few hits come back by that place.
+    # Rows are told apart by their place in the scan, so repeated ids stay apart; they
+    # are written with it, once, as it would be another in another scan. Each further
+    # block is a scan whose few hits come back by that place.
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text")).withColumn("at", F.monotonically_increasing_id())
+    keyed = materialize(keyed, "placed-documents")
     placed = keyed.select(F.col("at").alias("doc_id"), "text")
     base = _scan(placed, first, window)
     for block in chain([second], blocks):

@@ -71,7 +71,8 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.when(F.size(low) > 0, low).otherwise(F.slice(every, 1, 1))
 
 
-#: Documents a block: blocks are windows, so this bounds what a task sorts.
+#: Documents a block: blocks are windows, so this bounds what a task sorts. Beyond
+#: BLOCK_ROWS x MOST_BLOCKS documents blocks grow instead, and their windows spill.
 BLOCK_ROWS = 500
 MOST_BLOCKS = 100_000
 
@@ -85,24 +86,28 @@ def in_blocks(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """
     ids = docs.select("id0")
     blocks = min(max(1, -(-ids.count() // block_rows)), MOST_BLOCKS)
+    cuts, n = F.array().cast("array<bigint>"), F.lit(0)
     if blocks > 1:
-        shares = F.array(*[F.lit(k / blocks) for k in range(1, blocks)])
+        shares = F.expr(f"array({','.join(f'{k / blocks!r}D' for k in range(1, blocks))})")
         found = ids.agg(F.array_distinct(F.percentile_approx("id0", shares, max(10_000, 20 * blocks))).alias("c"))
-        cuts = F.coalesce(found.scalar(), F.array().cast("array<bigint>"))
-    else:
-        cuts = F.array().cast("array<bigint>")
+        cuts, n = F.coalesce(found.scalar(), cuts), F.coalesce(found.select(F.size("c")).scalar(), n)
     top = ids.agg(F.max("id0").alias("top")).scalar()
-    placed = docs.withColumn("cuts", cuts).withColumn("top", top)
-    cuts, top = F.col("cuts"), F.col("top")
-    block = F.size(F.filter(cuts, lambda c: c >= F.col("id0")))
+    # A column of cuts is used once, so that Spark puts the array where it is used; else
+    # every row would take a copy along.
+    # How many cuts are below an id, by halves.
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_BLOCKS.bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda at, s: at + F.when(F.get("cuts", at + s - 1) < F.col("id0"), s).otherwise(0))
+    placed = docs.withColumn("cuts", cuts).withColumn("below", below).drop("cuts")
+    placed = placed.withColumn("cuts", cuts).withColumn("first", F.get("cuts", F.col("below"))).drop("cuts")
+    placed = placed.withColumn("block", n - F.col("below")).withColumn("top", F.col("id0") == top).withColumn("n", n)
     seats = F.array_compact(
         F.array(
             F.struct(F.col("block"), F.lit(0).alias("guest")),
-            F.when(F.array_contains(cuts, F.col("id0")), F.struct((F.col("block") - 1).alias("block"), F.lit(1).alias("guest"))),
-            F.when(F.col("id0") == top, F.struct(F.size(cuts).alias("block"), F.lit(2).alias("guest"))),
+            F.when(F.col("first") == F.col("id0"), F.struct((F.col("block") - 1).alias("block"), F.lit(1).alias("guest"))),
+            F.when(F.col("top"), F.struct(F.col("n").alias("block"), F.lit(2).alias("guest"))),
         )
     )
-    return placed.withColumn("block", block).withColumn("seat", F.explode(seats)).drop("block").select(*docs.columns, "seat.block", "seat.guest").repartition("block")
+    return placed.withColumn("seat", F.explode(seats)).drop("block").select(*docs.columns, "seat.block", "seat.guest").repartition("block")
 
 
 def edited_pairs(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGLE) -> DataFrame:

@@ -29,7 +29,7 @@ from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas datalist annotation annotation-xml metadata desc defs".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption ul".split()
 )
@@ -229,10 +229,28 @@ def render(root: Node) -> str:
     return "\n".join(_lines(root, True)).strip("\n")
 
 
-#: Tables inside tables are laid out to this depth; further in, as plain blocks.
+#: Tables inside tables are laid out to this depth; further in, a row is a line and
+#: its cells are parted by a space.
 NESTED = 20
 
 
+def _chosen(select: Node) -> list[Node]:
+    """The options that show: those selected, else the first of a closed list, else all."""
+    options, stack = [], [select]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            continue
+        if node.name == "option":
+            options.append(node)
+        else:
+            stack.extend(reversed(node.kids))
+    attributes = select.attributes() if select.attrs else {}
+    if "multiple" in attributes or attributes.get("size", "1") != "1":
+        return options
+    return [x for x in options if x.attrs and "selected" in x.attributes()][-1:] or options[:1]
+
+
 def _lines(root: Node, visible: bool, nested: int = 0) -> list[str]:
     o = Lines()
     # (node, visible, in pre, list depth, state of its list), entered or left
@@ -278,6 +296,14 @@ def _lines(root: Node, visible: bool, nested: int = 0) -> list[str]:
         if name == "table" and nested < NESTED:
             o.raw(_table(node, shown, nested + 1))
             continue
+        if name == "tr":
+            o.end()
+        elif name in ("td", "th"):
+            o.text(" ")
+        elif name == "select":
+            for option in _chosen(node):
+                stack.extend((kid, shown, pre, depth, items, False) for kid in reversed(option.kids))
+            continue
         if name in ("ul", "menu", "dir"):
             depth, items = depth + 1, None
         elif name == "ol":
@@ -305,6 +331,7 @@ def _table(node: Node, visible: bool, nested: int) -> list[str]:
     captions: list[str] = []
     rows: list[list[str]] = []
     loose: list = []
+    under: dict[int, int] = {}  # column: rows that a cell above still spans
     stack: list[tuple] = [(kid, visible) for kid in reversed(node.kids)]
     while stack:
         kid, shown = stack.pop()
@@ -327,9 +354,16 @@ def _table(node: Node, visible: bool, nested: int) -> list[str]:
                 away, seen = _style(c, shown)
                 if away:
                     continue
-                cells.append(" ".join(x for x in _cell(c, seen, nested) if x))
-                span = c.attributes().get("colspan", "1") if c.attrs else "1"
-                cells += [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,9}", span) else 0)
+                while under.get(len(cells)):
+                    under[len(cells)] -= 1
+                    cells.append("")
+                wide, high = _span(c, "colspan", 1000), _span(c, "rowspan", 65_534)
+                if high > 1:
+                    under |= dict.fromkeys(range(len(cells), len(cells) + wide), high - 1)
+                cells += [" ".join(x for x in _cell(c, seen, nested) if x), *[""] * (wide - 1)]
+            for k in [k for k in under if k >= len(cells)]:
+                under[k] -= 1
+            under = {k: n for k, n in under.items() if n > 0}
             rows.append(cells)
         elif kid.name in ("td", "th"):
             rows.append([" ".join(x for x in _cell(kid, shown, nested) if x)])
@@ -344,6 +378,14 @@ def _table(node: Node, visible: bool, nested: int) -> list[str]:
     return loose + captions + laid
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    n = cell.attributes().get(name, "1") if cell.attrs else "1"
+    if not re.fullmatch(r"\d{1,9}", n):
+        return 1
+    # No number of rows stands for all that follow.
+    return min(int(n), most) or (most if name == "rowspan" else 1)
+
+
 def _cell(node: Node, visible: bool, nested: int) -> list[str]:
     """The lines of a cell's inside."""
     inside = Node("")

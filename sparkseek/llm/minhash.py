@@ -16,12 +16,13 @@ stay linear:
   the least (of up to three members, that is all pairs);
 * what these links already put into one component needs no further pair;
 * the members that are left outside a key's largest component are compared with
-  the rest of the key, in blocks of bounded size, and of the pairs within reach
-  of the threshold each is passed on under the first key that it shares.
+  the rest of the key, in blocks of bounded size, and of the pairs whose parity
+  sketches allow the threshold each is passed on under the first key that it shares.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 a null doc_id links with nothing and is its own (null) component; rows that share
-a doc_id are one node with several texts; other columns are not read.
+a doc_id are one node with several texts; other columns are not read. keep_first
+decides by row: of a component one document stays, and of its rows of equal words one.
 """
 
 from __future__ import annotations
@@ -32,17 +33,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, components, discard, mark, materialize, table
+from .common import HASHES, bit_filter, components, discard, mark, materialize, table
 
 CHUNKS, WIDTH, SHINGLE = 12, 8, 5
 #: Rows of one key that are compared at once: of those left over, of the others.
 LEFT_BLOCK, RIGHT_BLOCK = 1024, 4096
-#: Signatures of documents 0.8 alike differ in more values than this with a
-#: chance of about 2e-5 (mean 19.2, deviation 3.9).
-FURTHEST = 36
 
 #: Bits of the parity sketch: of each slot, whether an odd number of a set's
 #: shingles fall into it. Two sets differ in at least as many shingles as their
@@ -154,11 +152,15 @@ def keys_of(sig: np.ndarray) -> np.ndarray:
     return keys.reshape(len(sig), -1)
 
 
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
+SKETCH = "doc_id long, rid long, n_shingles long, k1 long, k2 long, sig binary"
+
+
+def _rid() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """A row a document: set size, 128-bit hash of its words, signature."""
+    """A row a document: its own hash, set size, 128-bit hash of its words, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = Words(), _multipliers()
@@ -174,11 +176,11 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 k2.append(int.from_bytes(d[8:], "little", signed=True))
                 sigs.append(record_of(s, a, b) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "sig"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "rid", "n_shingles", "k1", "k2", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), _rid().alias("rid")).mapInArrow(run, SKETCH)
 
 
 def _index(nodes: DataFrame) -> DataFrame:
@@ -204,8 +206,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (Records(batch.column(i).to_pylist()) for i in (2, 3))
-            close = (x.sig != y.sig).sum(axis=1) <= FURTHEST
-            yield batch.select([0, 1]).filter(pa.array(close & may_be_alike(x.parity, y.parity, x.size, y.size, percent)))
+            yield batch.select([0, 1]).filter(pa.array(may_be_alike(x.parity, y.parity, x.size, y.size, percent)))
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("y"))
@@ -268,10 +269,8 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         for i in range(k):
             # Pairs of two that are outside come up twice: once is enough.
             near = np.flatnonzero((component[k:] != component[i]) & (~out[k:] | (node[k:] > node[i]))) + k
+            near = near[may_be_alike(r.parity[near], r.parity[i], r.size[near], r.size[i], percent)]
             differ = sig[near] != sig[i]
-            close = differ.sum(axis=1) <= FURTHEST
-            close[close] = may_be_alike(r.parity[near[close]], r.parity[i], r.size[near[close]], r.size[i], percent)
-            near, differ = near[close], differ[close]
             if len(near):
                 chunks = differ.reshape(len(near), CHUNKS, WIDTH)
                 errors = chunks.sum(axis=2)
@@ -308,13 +307,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    return _judged(docs, shingle, percent).drop("rid", "k1", "k2")
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """near_duplicates with each row's own hash, rid, and that of its words."""
     sketch = materialize(sketches(docs, shingle), "sketches")
     some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
     nodes = materialize(classes, "nodes")
-    index = _index(nodes)
-    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     start = mark()
+    index = materialize(_index(nodes), "index", **HASHES)
+    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     shared = materialize(index.join(keys, "key"), "shared-keys")
     few, many = shared.where("n < 4"), shared.where("n >= 4")
     # The text that a group's copies were made from shares the most keys with them.
@@ -338,21 +342,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
         joined = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("whole"))
         component = component.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     by_class = component.select("k1", "k2", F.col("component").alias("component_id"))
-    out = some.join(by_class, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
-    lone = sketch.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = some.join(by_class, ["k1", "k2"]).select("doc_id", "rid", "k1", "k2", "n_shingles", "component_id")
+    lone = sketch.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "rid", "k1", "k2", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionAll(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """The documents without all but the least doc_id of each component."""
+    """One document of each component, with all its columns: that of the least doc_id,
+    and of its rows of equal words one."""
     start = mark()
-    found = near_duplicates(docs, shingle, percent)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct(), "near-copies")
-    discard(docs.sparkSession, start, gone)
-    maybe = bit_filter(gone, "_gone_id")
-    at = F.col("doc_id").cast("long")
-    may = F.coalesce(maybe(at), F.lit(False))
-    return docs.where(~may).unionAll(docs.where(may).join(gone, at == F.col("_gone_id"), "left_anti"))
+    found = materialize(_judged(docs, shingle, percent), "judged")
+    discard(docs.sparkSession, start, found)
+    linked = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    stay = linked.where("kept")
+    same = ["doc_id", "k1", "k2"]
+    several = stay.groupBy(*same).agg(F.min("rid").alias("least"), F.max("rid").alias("most"), F.count("*").alias("rows")).where("rows > 1")
+    others = stay.join(several.where("least < most"), same).where("rid <> least").select("rid")
+    gone = materialize(linked.where("NOT kept").select("rid").unionAll(others).select(F.col("rid").alias("_gone")).distinct(), "near-copies")
+    twice = materialize(several.select(F.col("least").alias("_twice")), "repeated-rows")
+    discard(docs.sparkSession, start, gone, twice)
+    is_gone, is_twice = bit_filter(gone, "_gone"), bit_filter(twice, "_twice", 1 << 18)
+    keyed = docs.withColumn("_rid", _rid())
+    may, again = is_gone(F.col("_rid")), is_twice(F.col("_rid")) & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    told = keyed.where(may | again).join(gone, F.col("_rid") == F.col("_gone"), "left_anti")
+    parts = keyed.where(~may & ~again), told.where(~again), told.where(again).dropDuplicates(["_rid"])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*docs.columns)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,9 +145,11 @@ def pack(docs: DataFrame, tokens: int, documents: int | None = None, attention:
     out, they do not bind. A whole piece is let in even where its own attention
     cost is above the bound, as it could go nowhere else.
     """
+    if (documents is not None and documents < 1) or (attention is not None and attention <= 0) or tokens < 1:
+        raise ValueError("a sequence has room for a token, a document and its attention at least")
     groups = pieces(docs.count(), group)
     rows = materialize(tokenized_pieces(docs, tokens, json_path, ranks_path, pattern, end_id), "pieces")
-    capacity = (tokens, documents or tokens, attention or float(tokens) ** 2)
+    capacity = (tokens, tokens if documents is None else documents, float(tokens) ** 2 if attention is None else attention)
     whole = rows.where(F.col("length") == tokens)
     part = F.pmod(F.xxhash64("place"), F.lit(groups)).cast("int")
     loose = rows.where(F.col("length") < tokens).withColumn("part", part)

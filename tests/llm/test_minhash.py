@@ -101,3 +101,29 @@ def test_parity_never_turns_down_an_alike_pair():
         if 100 * both >= 80 * (len(s) + len(t) - both):
             x, y = (M.parity_of(v).view(np.uint64) for v in (s, t))
             assert M.may_be_alike(x, y, len(s), len(t), 80)
+
+
+def test_recall_of_the_index_near_the_threshold():
+    """Pairs 0.80 to 0.85 alike share a key, but for a few in ten thousand."""
+    rng, (a, b) = np.random.default_rng(3), M._multipliers()
+    missed, n = 0, 3000
+    for _ in range(n):
+        size = int(rng.integers(60, 400))
+        both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        own = int(size * (1 / rng.uniform(0.80, 0.85) - 1))
+        more = rng.integers(0, 1 << 63, own, dtype=np.uint64)
+        x, y = np.concatenate([both, more[: own // 2]]), np.concatenate([both, more[own // 2 :]])
+        keys = M.keys_of(np.stack([M.signature(x, a, b), M.signature(y, a, b)]))
+        missed += not (keys[0] == keys[1]).any()
+        assert M.may_be_alike(M.parity_of(x).view(np.uint64), M.parity_of(y).view(np.uint64), len(x), len(y), 80)
+    assert missed <= 0.002 * n
+
+
+def test_one_row_of_each_group_stays(documents, prose):
+    base, other = prose.text(200), prose.text(200)
+    docs = [(1, base), (2, base), (2, other), (3, prose.text(50)), (3, prose.text(50)), (4, other + " x"), (5, "lone text of five words here"), (5, "lone text of five words here"), (None, base), (None, base), (6, ""), (6, "")]
+    out = M.keep_first(documents(docs))
+    rows = sorted((str(r["doc_id"]), r["text"][:20]) for r in out.collect())
+    # The unique text of id 2 stays, though its other text is a copy; so do both texts of 3.
+    want = [(1, base), (2, other), docs[3], docs[4], (5, docs[6][1]), (None, base), (None, base), (6, ""), (6, "")]
+    assert rows == sorted((str(i), t[:20]) for i, t in want)

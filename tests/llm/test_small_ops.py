@@ -39,6 +39,22 @@ def test_layout(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  b  c\n   d  e\nf  g  h"),
+        ("<table><tr><td rowspan=0 colspan=2>a<td>b<tr><td>c<tr><td>d</table>", "a    b\n     c\n     d"),
+        ("<p>x <textarea>y <b>z</textarea>", "x y <b>z"),
+        ("<p>x <select><option>a<option selected>b<option>c</select> y", "x b y"),
+        ("<p>x <select><option>a<option>b</select>", "x a"),
+        ("<p><svg><title>t</title><text>label</text></svg> <math><mi>x</mi><mo>+</mo><mn>1</mn></math>", "label x+1"),
+        ("<table><tr><td>" * 22 + "a<td>b<tr><td>c" + "</table>" * 22, "a b c"),
+    ],
+)
+def test_forms_formulas_and_spans(page, want):
+    assert html_text.extract(page) == want
+
+
 def test_pages(spark):
     deep = "<div>" * 20_000 + "deep"
     tables = "<table><tr><td>" * 400 + "in"
@@ -196,6 +212,40 @@ def test_packing_keeps_every_bound(documents, prose):
         packing.best_fit(np.array([1]), (4, 4, 4), select="other")
 
 
+@pytest.mark.parametrize("select", ["norm", "dot"])
+def test_pieces_go_to_the_bins_of_plain_best_fit(prose, select):
+    rng = np.random.default_rng(11)
+    lengths = np.sort(rng.choice([1, 2, 3, 5, 8, 13, 40, 90], 300))[::-1]
+    cap, weights = (100.0, 4.0, 3_250.0), packing.WEIGHTS
+    where, offsets = packing.best_fit(lengths, cap, weights, select)
+    bins, want = [], []
+    for n in lengths.tolist():
+        need = (n, 1, n * n)
+        best = None
+        # Ties go to the bin opened first.
+        for k, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need, strict=True)):
+                rest = [x - y for x, y in zip(left, need, strict=True)]
+                if select == "norm":
+                    score = sum(w * (r / c) ** 2 for w, r, c in zip(weights, rest, cap, strict=True))
+                else:
+                    score = -sum(w * (x / c) * (y / c) for w, x, y, c in zip(weights, left, need, cap, strict=True))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, k)
+        k = best[1] if best else len(bins)
+        if not best:
+            bins.append(list(cap))
+        want.append((k, cap[0] - bins[k][0]))
+        bins[k] = [x - y for x, y in zip(bins[k], need, strict=True)]
+    assert list(zip(where.tolist(), offsets.tolist(), strict=True)) == want
+    assert any(left[0] >= 1 and left[1] < 1 for left in bins) and any(left[2] < 64 and left[0] >= 8 for left in bins)
+
+
+def test_a_sequence_has_room(documents):
+    with pytest.raises(ValueError):
+        packing.pack(documents([(1, "x")]), 256, documents=0, **packing.tokenizer_files())
+
+
 def test_the_fast_tokenizer_agrees(prose):
     ids = packing.Ids(*packing.tokenizer_files().values(), 2)
     want = reference_ids()
