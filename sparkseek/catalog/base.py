@@ -133,4 +133,6 @@ def shared_folder(spark: SparkSession) -> str:
     import tempfile
 
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster has to name a folder that its machines share in spark.checkpoint.dir")
     return conf.rstrip("/") if conf else f"file://{tempfile.mkdtemp(prefix='sparkseek-')}"

@@ -115,7 +115,8 @@ class Database:
 
     def get_many(self, ids: list[str]) -> DataFrame:
         wanted = self.index.spark.createDataFrame([(i,) for i in ids], "id string")
-        return self.index.docs.join(F.broadcast(wanted), "id", "left_semi")
+        # Spark broadcasts a list of ids as long as it is small.
+        return self.index.docs.join(wanted, "id", "left_semi")
 
     def _change(self, what: str, rows, do: Callable[[Index, object], Index]) -> Database:
         # A hook of one document and a hook of many see the same rows: here a row is a batch.

@@ -22,6 +22,9 @@ from ..operators.filters import Where, distance, geo_only
 from ..schema import vector_size
 from ..sources.index import Index
 
+#: Rows of a page that is sent to all tasks; a longer one is joined as Spark sees fit.
+BROADCAST_PAGE = 10_000
+
 
 @dataclass
 class Request:
@@ -130,7 +133,8 @@ class Result:
         if plain:
             # Rank on ids; documents are fetched for the page alone.
             page = self.scored.orderBy(*keys).offset(r.offset).limit(r.limit)
-            out = F.broadcast(page).join(ix.docs, "seq")
+            small = F.broadcast(page) if r.limit <= BROADCAST_PAGE else page
+            out = small.join(ix.docs, "seq")
             return self._vectors(out).orderBy(*keys)
         rows = self.matches
         if self._pins:
