@@ -59,7 +59,7 @@ CLASSES = 0x110000
 HOT = 1 << 18
 #: Code points that are worked on at once, n-grams a task gathers, n-grams a shard,
 #: documents that ask it (unless a task would ask each for less than 256 n-grams).
-CHUNK, GATHERED, SHARD, ASKING = 1 << 18, 1 << 20, 1 << 17, 1 << 12
+CHUNK, GATHERED, SHARD, ASKING = 1 << 18, 1 << 19, 1 << 17, 1 << 12
 #: Noncharacters: no text has them for text.
 START, END = "\ufdd0", "\ufdd1"
 
@@ -79,6 +79,13 @@ def _seed(lang: str) -> int:
     return int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at once, as texts take more room in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -150,7 +157,7 @@ def _counts(trusted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names, grams, pa.array(n)], names=["lang", "g", "n"])
             got.clear()
 
-        for batch in batches:
+        for batch in _slices(batches):
             docs = [(langs.setdefault(x, len(langs)), _seed(x), t) for x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             for codes, lang, seeds, own in _chunks(docs):
                 z = _keys(codes, seeds)[-1][own]
@@ -433,7 +440,7 @@ def _asked(rows: DataFrame, sent, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = _Group(*sent.value, shards)
-        for batch in batches:
+        for batch in _slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 group.add(*row)
                 if group.full():
