@@ -31,8 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
-#: Options of tables of hashes, which neither a dictionary nor compression shortens.
-HASHES = {"parquet.enable.dictionary": "false", "compression": "none"}
+#: Options of tables of hashes, which a dictionary does not shorten.
+HASHES = {"parquet.enable.dictionary": "false"}
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
