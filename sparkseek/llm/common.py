@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,26 @@ def discard(spark: SparkSession, since: int, *kept: DataFrame) -> None:
     jvm.System.gc()
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def gives_back(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, for mapInArrow(): at a task's end the worker hands the memory it freed back
+    to the machine, as it waits for more tasks while others work."""
+
+    def wrapped(*args, **named) -> Iterator:
+        try:
+            yield from run(*args, **named)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def pieces(rows: int, each: int) -> int:
     """Number of groups of about `each` rows, one at least."""
     return max(1, -(-rows // each))

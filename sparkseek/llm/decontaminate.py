@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import gives_back, materialize, table
 
 WINDOW = 10
 #: Items travel to the workers in blocks of so many bytes of text; each block is
@@ -131,6 +131,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes | None]]]:
 def _scan(docs: DataFrame, items: list, window: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, window)
         for batch in batches:
@@ -206,6 +207,7 @@ def _keep_clean(docs: DataFrame, items: list, window: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index("text")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, window)
         for batch in batches:

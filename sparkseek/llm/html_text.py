@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import gives_back, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -400,6 +400,7 @@ def extract(page: str | None) -> str | None:
 def html_text(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:
     """page_id, url and the visible text of each page."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [extract(x.as_py()) for x in batch.column(2)]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HASHES, bit_filter, components, discard, mark, materialize, table
+from .common import HASHES, bit_filter, components, discard, gives_back, mark, materialize, table
 
 CHUNKS, WIDTH, SHINGLE = 12, 8, 5
 #: Rows of one key that are compared at once: of those left over, of the others.
@@ -162,6 +162,7 @@ def _rid() -> Column:
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """A row a document: its own hash, set size, 128-bit hash of its words, signature."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = Words(), _multipliers()
         for batch in batches:
@@ -186,6 +187,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def _index(nodes: DataFrame) -> DataFrame:
     """key, place, node: each document under its CHUNKS * WIDTH keys."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -201,6 +203,7 @@ def _index(nodes: DataFrame) -> DataFrame:
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose records allow the similarity."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -216,6 +219,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on their full sets."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         last: tuple = (None, None)
@@ -254,6 +258,7 @@ def _left_over(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
     return both.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(partial(_compare, percent=percent), "a long, b long")
 
 
+@gives_back
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of sorted blocks of one key: the pairs that may be alike, under their first key."""
     for block in _runs(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, table
+from .common import gives_back, materialize, pieces, table
 
 TOKENS = 1024
 END_ID = 2
@@ -83,6 +83,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place
 def tokenized_pieces(docs: DataFrame, most: int, json_path: str, ranks_path: str | None, pattern: str | None, end_id: int | None = END_ID) -> DataFrame:
     """A row a piece. place: the document's place in the scan."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids(json_path, ranks_path, pattern, end_id)
         for batch in batches:

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, discard, mark, materialize, pieces, table
+from .common import bit_filter, discard, gives_back, mark, materialize, pieces, table
 
 ORDER = 5
 QUANTILE = 0.98
@@ -57,9 +57,10 @@ HELD_OUT = 10
 CLASSES = 0x110000
 #: Most entries of the table that is broadcast: 12 bytes each, four slots an entry.
 HOT = 1 << 18
-#: Code points that are worked on at once, n-grams a task gathers, n-grams a shard,
-#: documents that ask it (unless a task would ask each for less than 256 n-grams).
-CHUNK, GATHERED, SHARD, ASKING = 1 << 18, 1 << 19, 1 << 17, 1 << 12
+#: Code points that are worked on at once, n-grams a task gathers to be asked for, and
+#: to be counted, n-grams a shard, documents that ask it (unless a task would ask each
+#: for less than 256 n-grams).
+CHUNK, GATHERED, COUNTED, SHARD, ASKING = 1 << 17, 1 << 19, 1 << 18, 1 << 17, 1 << 12
 #: Noncharacters: no text has them for text.
 START, END = "\ufdd0", "\ufdd1"
 
@@ -137,6 +138,7 @@ def _counts(trusted: DataFrame) -> DataFrame:
     """lang, g, n: n-grams of the highest order, summed up within tasks as far as
     memory allows."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
         got: list[tuple[np.ndarray, ...]] = []
@@ -164,9 +166,9 @@ def _counts(trusted: DataFrame) -> DataFrame:
                 keys, at, n = np.unique(z, return_index=True, return_counts=True)
                 at = own[at]
                 got.append((keys, codes[at[:, None] + np.arange(1 - ORDER, 1)], lang[at].astype(np.int32), n))
-                if sum(len(x[0]) for x in got) > 2 * GATHERED:
+                if sum(len(x[0]) for x in got) > 2 * COUNTED:
                     summed()
-                    if len(got[0][0]) > GATHERED:
+                    if len(got[0][0]) > COUNTED:
                         yield from rows()
         yield from rows()
 
@@ -316,6 +318,7 @@ def _shard(key, shards: int):
 def _sharded(model: DataFrame, shards: int) -> DataFrame:
     """shard, kind 0, keys in order and values."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -438,6 +441,7 @@ class _Group:
 def _asked(rows: DataFrame, sent, shards: int) -> DataFrame:
     """What groups of documents ask of shards (kind 1), and what they are (kind 2)."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = _Group(*sent.value, shards)
         for batch in _slices(batches):
@@ -454,6 +458,7 @@ def _told(both: DataFrame) -> DataFrame:
     """fid, kind, shard, body: the shards' sums for the documents of a group."""
     types = pa.schema([("fid", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("body", pa.binary())])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come by shard, the model's first.
         mine, keys, values = None, np.empty(0, np.uint64), np.empty(0)
@@ -486,6 +491,7 @@ def _summed(told: DataFrame) -> DataFrame:
     # A group asks for a bounded number of n-grams (but for the last document's).
     groups = told.groupBy("fid").agg(F.max(F.when(F.col("kind") == 2, F.col("body"))).alias("meta"), F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.struct("shard", "body")))).alias("sums"))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for meta, sums in zip(batch.column(0), batch.column(1), strict=True):

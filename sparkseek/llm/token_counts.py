@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import gives_back, table
 
 LIMIT = 4096
 SAMPLE_DOCS = 4096
@@ -123,6 +123,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, s
     path = path or tokenizer_path()
     sent = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path, sample_docs))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = Lengths(path, unpack_table(sent.value))
         get = lengths.__getitem__
