@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slugify
+from ..functions.text import format_bytes, slugify
 from ..sources import markup, shards
 from .base import table
 
@@ -82,3 +82,27 @@ ORACLES["shard_pruning"] = """WITH h AS (SELECT *, list_reduce(list_prepend(2166
 r AS (SELECT shard, min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM h GROUP BY shard)
 SELECT 'p_size gt' AS test, shard FROM r WHERE b > 49 UNION ALL SELECT 'p_size between', shard FROM r WHERE a <= 60 AND b >= 50
 UNION ALL SELECT 'p_retailprice lt', shard FROM r WHERE c < 905 UNION ALL SELECT 'p_retailprice eq', shard FROM r WHERE c <= 900 AND d >= 900"""
+
+
+def bloom_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash by which a Bloom filter of words places each source."""
+    rows = table(spark, sf_dir, "documents").select("source").distinct()
+    return rows.select("source", shards.mixed32(shards.fnv1a32(F.col("source"))).alias("hash"))
+
+
+QUERIES["bloom_hashes"] = bloom_hashes
+ORACLES["bloom_hashes"] = """WITH h AS (SELECT source, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(source, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM (SELECT DISTINCT source FROM documents)),
+a AS (SELECT source, (xor(h, h // 65536) * 2246822507) % 4294967296 AS h FROM h), b AS (SELECT source, (xor(h, h // 8192) * 3266489909) % 4294967296 AS h FROM a)
+SELECT source, xor(h, h // 65536)::BIGINT AS hash FROM b"""
+
+
+def bytes_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's texts, in bytes that a person reads."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("n"))
+    return sizes.select("source", format_bytes(F.col("n")).alias("size"), format_bytes(F.col("n"), 0).alias("whole"))
+
+
+QUERIES["bytes_in_words"] = bytes_in_words
+ORACLES["bytes_in_words"] = """WITH s AS (SELECT source, sum(strlen(text))::BIGINT AS n FROM documents GROUP BY source),
+u AS (SELECT *, CASE WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS i FROM s), v AS (SELECT *, n / pow(1024, i) AS x, ['Bytes', 'KB', 'MB'][i + 1] AS unit FROM u)
+SELECT source, CASE WHEN i = 0 THEN n::VARCHAR ELSE regexp_replace(round(x, 2)::DECIMAL(18, 2)::VARCHAR, '\\.?0+$', '') END || ' ' || unit AS size, round(x)::BIGINT::VARCHAR || ' ' || unit AS whole FROM v"""

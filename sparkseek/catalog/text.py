@@ -11,7 +11,7 @@ from ..operators import rankers
 from ..operators.suggest import suggest
 from ..plans.search import search
 from ..sources.index import Index
-from .base import DOCS_SQL, ORDER, PARTS_SQL, documents, events_sql, index_sql, kept, parts, scored, table, text_sql, words_sql
+from .base import DOCS_SQL, DOCUMENTS, ORDER, PARTS_SQL, documents, events_sql, index_sql, kept, parts, scored, table, text_sql, words_sql
 
 STOP = ("the", "of", "and", "que", "la", "le")
 QUERIES: dict = {}
@@ -271,3 +271,14 @@ ORACLES["pt15_rank"] = f"""WITH {DOCS_SQL}, o AS (SELECT seq, list_transform(lis
 u AS (SELECT seq, len(w) AS n, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS i FROM o)
 SELECT seq - 1 AS doc_id, round(sum((14 - CASE WHEN n < 15 THEN i ELSE (i * 15) // n END) * 2 * (starts_with(term, 'hean')::INTEGER + starts_with(term, 'ouen')::INTEGER)), 6)::DOUBLE AS score
 FROM u WHERE starts_with(term, 'hean') OR starts_with(term, 'ouen') GROUP BY seq ORDER BY score DESC, seq LIMIT 20"""
+
+
+def ft_statistics_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of English documents alone, scored by the numbers of all."""
+    part = kept(spark, sf_dir, "english documents", lambda: Index.build(documents(spark, sf_dir).docs.where("lang = 'en'"), DOCUMENTS))
+    found = search(part.with_statistics_of(documents(spark, sf_dir)), term="hean und", properties=["text"], prefix=False, limit=30)
+    return scored(found.hits, "doc_id")
+
+
+QUERIES["ft_statistics_of_all"] = ft_statistics_of_all
+ORACLES["ft_statistics_of_all"] = text_sql(["hean", "und"], limit=30, mode="exact", allowed="lang = 'en'")

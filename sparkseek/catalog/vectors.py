@@ -138,6 +138,25 @@ def knn_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"knn_ivf": knn_ivf, "knn_pq": knn_pq}
 
+def _by_index(name: str, how, sql: str, **request) -> None:
+    """A search by the index that the schema's property names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ix = kept(spark, sf_dir, name, lambda: replace(embeddings(spark, sf_dir), vector_indexes={"embedding": how}))
+        vector = {"property": "embedding", "value": query_vector(spark, sf_dir)}
+        return scored(search(ix, mode="vector", vector=vector, **request).hits, "vec_id")
+
+    run.__name__ = name
+    QUERIES[name], ORACLES[name] = run, f"WITH {BASE}{sql}"
+
+
+_far = f" SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.1 {ORDER} LIMIT 20"
+_by_index("knn_search_ivf", {"kind": "ivf", "nlist": 16}, _far, similarity=0.1, limit=20)
+_by_index("knn_search_pq", "pq", _far, similarity=0.1, limit=20)
+_by_index("knn_search_ivf_where", {"kind": "ivf", "nlist": 16}, f" SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= -0.2 AND label = 2 {ORDER} LIMIT 20", similarity=-0.2, limit=20, where={"label": {"eq": 2}})
+_by_index("knn_search_binary", "binary", f", {_bits} SELECT vec_id, round(exact, 6) AS score FROM b WHERE score >= 0.05 AND exact >= 0.2 ORDER BY round(exact, 9) DESC, seq LIMIT 20", similarity=0.2, limit=20)
+_by_index("knn_search_int8", {"kind": "int8", "rescore": None}, f", {_codes} SELECT vec_id, round(score, 6) AS score FROM i WHERE score >= 0.1 {ORDER} LIMIT 20", similarity=0.1, limit=20)
+
 # -- text and vectors ----------------------------------------------------------------------
 
 
@@ -187,3 +206,20 @@ c0 AS (SELECT label, d, sum(x) AS x FROM u GROUP BY ALL), c1 AS (SELECT label, l
 a AS (SELECT label, max(acos(greatest(-1, least(1, list_dot_product({_UNIT.format('v', 'sqrt(list_dot_product(v, v))')}, c))))) AS angle FROM e JOIN c USING (label) GROUP BY label),
 b AS (SELECT label, angle, cos(greatest(0, acos(greatest(-1, least(1, list_dot_product(c, q)))) - angle)) AS bound FROM a JOIN c USING (label) CROSS JOIN qu)
 SELECT label, round(angle, 5) AS angle, round(bound, 5) AS bound FROM b WHERE bound >= 0"""
+
+
+def vector_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three shards (here: labels) of nearest centroids, of those that may hold a match."""
+    from ..functions.vectors import unit
+
+    rows = vectors(embeddings(spark, sf_dir), "embedding").join(embeddings(spark, sf_dir).docs.select("seq", "label"), "seq")
+    found = S.probed(S.cones(rows, "label", SIZE), unit(query_vector(spark, sf_dir)), 0.0, 3, "label")
+    return found.select("label", F.round("nearness", 5).alias("nearness"))
+
+
+QUERIES["vector_probe"] = vector_probe
+ORACLES["vector_probe"] = (
+    ORACLES["vector_cones"].split("\nb AS (")[0]
+    + "\nb AS (SELECT label, list_dot_product(c, q) AS near, cos(greatest(0, acos(greatest(-1, least(1, list_dot_product(c, q)))) - angle)) AS bound FROM a JOIN c USING (label) CROSS JOIN qu)"
+    + " SELECT label, round(near, 5) AS nearness FROM b WHERE bound >= 0 ORDER BY round(near, 9) DESC, label LIMIT 3"
+)

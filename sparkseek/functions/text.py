@@ -126,5 +126,18 @@ def collation(language: str) -> str:
     return COLLATIONS.get(language) or PAIRED.get(language, "UNICODE")
 
 
+SIZES = ("Bytes", "KB", "MB", "GB", "TB", "PB", "EB")
+
+
+def format_bytes(n: Column, decimals: int = 2) -> Column:
+    """1536 as "1.5 KB"; powers of 1024, no zeros at the end."""
+    out = F.concat(n.cast("string"), F.lit(f" {SIZES[0]}"))
+    for i, unit in enumerate(SIZES[1:], 1):
+        part = F.round(n / float(1024**i), max(0, decimals)).cast(f"decimal(30, {max(0, decimals)})").cast("string")
+        short = F.regexp_replace(part, r"\.?0+$", "") if decimals > 0 else part
+        out = F.when(n >= 1024**i, F.concat(short, F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
 def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SeekError
@@ -99,6 +100,9 @@ class Ivf:
         self.rows.write.mode("overwrite").partitionBy("cluster").parquet(path)
         self.rows = self.index.spark.read.parquet(path)
 
+    def near(self, value: list[float], similarity: float) -> DataFrame:
+        return self.search(value, similarity)
+
     def search(self, value: list[float], similarity: float = SIMILARITY, nprobe: int | None = None) -> DataFrame:
         q = _query(self.index, self.prop, value)
         if q is None:
@@ -129,22 +133,41 @@ def _two_steps(rows: DataFrame, q: list[float], k: int | None, similarity: float
     return out.orderBy(*order).limit(k) if k else out
 
 
+class Coded:
+    """Sign bits ("binary") or 8-bit codes ("int8") as columns beside the vectors."""
+
+    def __init__(self, index: Index, prop: str, kind: str, rescore: str | None = "float32", oversample: int = OVERSAMPLE):
+        self.index, self.prop, self.kind, self.rescore, self.oversample = index, prop, kind, rescore, oversample
+        self.size = vector_size(index.schema.fields.get(prop, ""))
+        code = V.sign_words(F.col("v"), self.size or 0) if kind == "binary" and self.size else V.int8_code(F.col("v"))
+        self.rows = vectors(index, prop).withColumn("c", code)
+
+    def _score(self, q: list[float]) -> Column:
+        if self.kind == "int8":
+            return V.int8_score(V.literal(q), F.col("c"), F.lit(sum(q)))
+        words = [sum(1 << (i % 64) for i in range(w, min(w + 64, self.size)) if q[i] > 0) for w in range(0, self.size, 64)]
+        signs = F.array(*[F.lit(w - (1 << 64) if w >= 1 << 63 else w).cast("long") for w in words])
+        return V.binary_score(V.hamming(F.col("c"), signs), self.size)
+
+    def near(self, value: list[float], similarity: float) -> DataFrame:
+        return self.search(value, None, similarity)
+
+    def search(self, value: list[float], k: int | None = None, similarity: float | None = None) -> DataFrame:
+        q = _query(self.index, self.prop, value)
+        if q is None:
+            return self.rows.select("seq", F.lit(0.0).alias("score")).where("false")
+        rows = self.rows.select("seq", "v", self._score(q).alias("score"))
+        return _two_steps(rows, q, k, similarity, self.rescore, self.oversample)
+
+
 def binary(index: Index, prop: str, value: list[float], k: int | None = None, rescore: str | None = "float32", oversample: int = OVERSAMPLE, similarity: float | None = None) -> DataFrame:
     """seq, score by sign bits; with rescore ("int8" or "float32") in two steps."""
-    q = _query(index, prop, value) or []
-    size = vector_size(index.schema.fields[prop])
-    words = [sum(1 << (i % 64) for i in range(w, min(w + 64, size)) if q[i] > 0) for w in range(0, size, 64)]
-    code = F.array(*[F.lit(w - (1 << 64) if w >= 1 << 63 else w).cast("long") for w in words])
-    rows = vectors(index, prop).select("seq", "v", V.binary_score(V.hamming(V.sign_words(F.col("v"), size), code), size).alias("score"))
-    return _two_steps(rows, q, k, similarity, rescore, oversample)
+    return Coded(index, prop, "binary", rescore, oversample).search(value, k, similarity)
 
 
 def int8(index: Index, prop: str, value: list[float], k: int | None = None, rescore: str | None = "float32", oversample: int = OVERSAMPLE, similarity: float | None = None) -> DataFrame:
     """seq, score by 8-bit codes; with rescore ("float32") in two steps."""
-    q = _query(index, prop, value) or []
-    rows = vectors(index, prop).select("seq", "v", V.int8_code(F.col("v")).alias("c"))
-    rows = rows.select("seq", "v", V.int8_score(V.literal(q), F.col("c"), F.lit(sum(q))).alias("score"))
-    return _two_steps(rows, q, k, similarity, rescore, oversample)
+    return Coded(index, prop, "int8", rescore, oversample).search(value, k, similarity)
 
 
 class ProductQuantizer:
@@ -192,8 +215,8 @@ class ProductQuantizer:
 
         return rows.withColumn("_c", code("v")).select(*rows.columns, "_c.code", "_c.off")
 
-    def search(self, value: list[float], k: int, oversample: int = OVERSAMPLE) -> DataFrame:
-        q = _query(self.index, self.prop, value) or []
+    def _scored(self, q: list[float]) -> DataFrame:
+        """The rows with the score by code, s."""
         lut = np.stack([b @ np.array(q[j * self.width : (j + 1) * self.width]) for j, b in enumerate(self.books)])
 
         @F.pandas_udf("double")
@@ -201,7 +224,21 @@ class ProductQuantizer:
             c = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
             return pd.Series(lut[np.arange(lut.shape[0])[None, :], c].sum(axis=1))
 
-        coded, exact = self.rows.withColumn("s", score("code")), V.clamped(V.dot(F.col("v"), V.literal(q)))
+        return self.rows.withColumn("s", score("code"))
+
+    def near(self, value: list[float], similarity: float) -> DataFrame:
+        """All at least so similar: exact scores of those whose code lets them be."""
+        q = _query(self.index, self.prop, value)
+        if q is None:
+            return self.rows.select("seq", F.lit(0.0).alias("score")).where("false")
+        may = self._scored(q).where(F.col("s") + F.col("off") >= similarity - SLACK)
+        return may.select("seq", V.clamped(V.dot(F.col("v"), V.literal(q))).alias("score")).where(F.col("score") >= similarity)
+
+    def search(self, value: list[float], k: int, oversample: int = OVERSAMPLE) -> DataFrame:
+        q = _query(self.index, self.prop, value)
+        if q is None:
+            return self.rows.select("seq", F.lit(0.0).alias("score")).where("false")
+        coded, exact = self._scored(q), V.clamped(V.dot(F.col("v"), V.literal(q)))
         some = coded.orderBy(F.desc("s"), "seq").limit(k * oversample).select(exact.alias("score"))
         # The k-th best of these is at most the k-th best of all: what cannot reach it
         # is none of the k.
@@ -211,6 +248,53 @@ class ProductQuantizer:
         return coded.select("seq", exact.alias("score")).orderBy(F.desc(F.round("score", 9)), "seq").limit(k)
 
 
+# -- the index that a property names ---------------------------------------------------
+
+MADE = {
+    "ivf": Ivf,
+    "binary": lambda index, prop, **how: Coded(index, prop, "binary", **how),
+    "int8": lambda index, prop, **how: Coded(index, prop, "int8", **how),
+    "pq": ProductQuantizer,
+}
+
+
+def _chosen(index: Index, prop: str):
+    """What makes the property's index; None for a scan of the vectors themselves."""
+    how = index.vector_indexes.get(prop, index.vector_indexes.get("*", "flat"))
+    if callable(how):
+        return how
+    options = dict(how) if isinstance(how, dict) else {"kind": how}
+    kind = options.pop("kind", None)
+    if kind == "flat":
+        return None
+    if kind not in MADE:
+        raise SeekError("UNSUPPORTED_COMPONENT", kind)
+    return lambda ix, p: MADE[kind](ix, p, **options)
+
+
+def refit(index: Index, prop: str):
+    """The property's index, made anew; its coded rows are kept for the searches to come."""
+    make = _chosen(index, prop)
+    old = index._fitted.pop(prop, None)
+    if isinstance(getattr(old, "rows", None), DataFrame):
+        old.rows.unpersist()
+    if make is None:
+        return None
+    made = make(index, prop)
+    if isinstance(getattr(made, "rows", None), DataFrame):
+        made.rows = made.rows.persist(StorageLevel.MEMORY_AND_DISK)
+    index._fitted[prop] = made
+    return made
+
+
+def near(index: Index, prop: str, value: list[float], similarity: float = SIMILARITY, allowed: DataFrame | None = None) -> DataFrame:
+    """seq, score of documents at least so similar, by the index that the property names."""
+    if vector_size(index.schema.fields.get(prop, "")) is None or _chosen(index, prop) is None:
+        return flat(index, prop, value, similarity, allowed)
+    rows = (index._fitted.get(prop) or refit(index, prop)).near(value, similarity)
+    return rows if allowed is None else rows.join(allowed.select("seq"), "seq", "left_semi")
+
+
 def hybrid(text: DataFrame, near: DataFrame, weights: tuple[float, float] | None = None) -> DataFrame:
     """Full outer sum of two rankings, each divided by its own largest score."""
     wt, wv = weights or (0.5, 0.5)

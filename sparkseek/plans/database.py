@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SeekError
 from ..functions.text import Analyzer
-from ..operators import rankers
+from ..operators import rankers, vector_search
 from ..operators import results as R
 from ..operators.filters import Where
 from ..operators.suggest import suggest
@@ -61,7 +61,7 @@ class Database:
         self._run("after_create", self)
 
     @classmethod
-    def create(cls, docs: DataFrame, schema: dict | None = None, analyzer: Analyzer | None = None, exclude: tuple[str, ...] = (), order: tuple[str, ...] = ("id",), plugins: tuple[Plugin, ...] = (), **settings) -> Database:
+    def create(cls, docs: DataFrame, schema: dict | None = None, analyzer: Analyzer | None = None, exclude: tuple[str, ...] = (), order: tuple[str, ...] = ("id",), plugins: tuple[Plugin, ...] = (), vector_indexes: dict[str, object] | None = None, **settings) -> Database:
         """docs: with seq or, without it, numbered by `order`."""
         own = [p.components["analyzer"] for p in plugins if "analyzer" in p.components]
         if len(own) + (analyzer is not None) > 1:
@@ -71,7 +71,7 @@ class Database:
         unknown = [p for p in exclude if p not in docs.columns]
         if unknown:
             raise SeekError("INVALID_STORE_CONFIG", unknown)
-        return cls(Index.build(docs, schema, own[0] if own else analyzer, exclude), plugins=plugins, **settings)
+        return cls(Index.build(docs, schema, own[0] if own else analyzer, exclude, vector_indexes=vector_indexes), plugins=plugins, **settings)
 
     def _plug(self, plugins: tuple[Plugin, ...]) -> None:
         taken: dict[str, str] = {}
@@ -113,6 +113,11 @@ class Database:
     def get(self, doc_id: str) -> DataFrame:
         return self.index.get(doc_id)
 
+    def refit(self, prop: str) -> Database:
+        """Centroids and codes of a vector index, made anew from the documents of now."""
+        vector_search.refit(self.index, prop)
+        return self
+
     def get_many(self, ids: list[str]) -> DataFrame:
         wanted = self.index.spark.createDataFrame([(i,) for i in ids], "id string")
         # Spark broadcasts a list of ids as long as it is small.

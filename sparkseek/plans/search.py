@@ -87,7 +87,7 @@ class Result:
         v = self.request.vector
         if not v:
             raise SeekError("INVALID_VECTOR_INPUT")
-        return vector_search.flat(self.index, v["property"], v["value"], self.request.similarity, allowed)
+        return vector_search.near(self.index, v["property"], v["value"], self.request.similarity, allowed)
 
     def _by_distance(self, prop: str, how: dict) -> DataFrame:
         rows = Where(self.index, {prop: how}).apply(self.index.docs).select("seq", distance(F.col(prop), how).alias("m"))

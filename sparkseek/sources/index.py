@@ -10,7 +10,7 @@ Field averages and the number of documents are one small row a property.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -46,13 +46,18 @@ class Index:
     excluded: frozenset[str] = field(default_factory=frozenset)
     pins: dict[str, dict] = field(default_factory=dict)
     hooks: dict[str, list] = field(default_factory=dict)
+    #: Property ("*": all others) to a kind of vector index, {"kind": .., options}, or
+    #: a callable (index, property) that makes one.
+    vector_indexes: dict[str, object] = field(default_factory=dict)
+    #: Vector indexes of this version, made when first searched.
+    _fitted: dict[str, object] = field(default_factory=dict, init=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
         return self.docs.sparkSession
 
     @classmethod
-    def build(cls, docs: DataFrame, schema: SearchSchema | dict | None = None, analyzer: Analyzer | None = None, exclude: tuple[str, ...] = (), cache: bool = True) -> Index:
+    def build(cls, docs: DataFrame, schema: SearchSchema | dict | None = None, analyzer: Analyzer | None = None, exclude: tuple[str, ...] = (), cache: bool = True, vector_indexes: dict[str, object] | None = None) -> Index:
         """docs must have seq, and id (else seq serves as id)."""
         if schema is None:
             schema = SearchSchema.infer(docs)
@@ -72,7 +77,12 @@ class Index:
         if cache:
             terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
         n_docs = docs.count()
-        return cls(stored, schema, analyzer, postings, terms, n_docs, field_averages(docs, postings, schema, n_docs), analyzer.language, frozenset(exclude))
+        return cls(stored, schema, analyzer, postings, terms, n_docs, field_averages(docs, postings, schema, n_docs), analyzer.language, frozenset(exclude), vector_indexes=dict(vector_indexes or {}))
+
+    def with_statistics_of(self, other: Index) -> Index:
+        """These documents, scored by the numbers of another index: a part of a
+        collection ranks as the whole would."""
+        return replace(self, terms=other.terms, n_docs=other.n_docs, averages=other.averages)
 
     def save(self, path: str) -> None:
         """Sorted by word, so that row groups are ranges of words that a scan can
@@ -144,7 +154,7 @@ class Index:
     def _version(self, docs: DataFrame, postings: DataFrame) -> Index:
         n = docs.count()
         terms = postings.groupBy("prop", "term").agg(F.count("*").alias("df"))
-        return Index(docs, self.schema, self.analyzer, postings, terms, n, field_averages(docs, postings, self.schema, n), self.language, self.excluded, dict(self.pins), self.hooks)
+        return Index(docs, self.schema, self.analyzer, postings, terms, n, field_averages(docs, postings, self.schema, n), self.language, self.excluded, dict(self.pins), self.hooks, dict(self.vector_indexes))
 
 
 def build_postings(docs: DataFrame, schema: SearchSchema, analyzer: Analyzer) -> DataFrame:

@@ -33,6 +33,23 @@ def fnv1a32(text: Column) -> Column:
     return F.aggregate(chars, F.lit(FNV_START).cast("long"), char)
 
 
+#: Fixed values of the finalizer of the 32-bit murmur3 hash.
+FINAL_1, FINAL_2 = 0x85EBCA6B, 0xC2B2AE35
+
+
+def _times32(h: Column, factor: int) -> Column:
+    """The lower 32 bits of a product, by halves: no long overflows."""
+    upper = (F.shiftright(h, 16) * factor).bitwiseAND(F.lit(0xFFFF)) * 65_536
+    return (upper + h.bitwiseAND(F.lit(0xFFFF)) * factor).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def mixed32(h: Column) -> Column:
+    """A 32-bit hash (as a long) with all bits spread, for Bloom filters of words."""
+    for shift, factor in ((16, FINAL_1), (13, FINAL_2)):
+        h = _times32(h.bitwiseXOR(F.shiftright(h, shift)), factor)
+    return h.bitwiseXOR(F.shiftright(h, 16))
+
+
 def shard_of(doc_id: Column, shards: int) -> Column:
     return F.pmod(fnv1a32(doc_id), F.lit(shards)).cast("int")
 
@@ -110,6 +127,13 @@ def upper_bound(query: list[float], centroid: Column, angle: Column, has_zero: C
     return F.when(angle >= math.pi, 1.0).when(has_zero, F.greatest(best, F.lit(0.0))).otherwise(best)
 
 
+def probed(bounds: DataFrame, query: list[float], similarity: float, most: int, shard: str = "shard") -> DataFrame:
+    """Of the surviving shards the `most` whose centroids are nearest: fewer reads, and
+    matches in other shards are not found."""
+    near = surviving(bounds, query, similarity).withColumn("nearness", V.dot(F.col("centroid"), V.literal(query)))
+    return near.orderBy(F.desc(F.round("nearness", 9)), shard).limit(max(1, most))
+
+
 def surviving(bounds: DataFrame, query: list[float], similarity: float) -> DataFrame:
     """The shards that can hold a vector so similar, with their bound."""
     return bounds.withColumn("bound", upper_bound(query, F.col("centroid"), F.col("angle"), F.col("has_zero"))).where(F.col("bound") >= similarity)

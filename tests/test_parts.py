@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,37 @@ def test_clusters_out_of_reach_are_not_read(clustered):
     assert vector_search.recall_at(ivf.search(rows[5], 0.95), vector_search.flat(ix, "v", rows[5], 0.95)) == 1.0
 
 
+def test_search_goes_by_the_index_of_the_property(clustered):
+    ix, rows = clustered
+    ask = {"mode": "vector", "vector": {"property": "v", "value": rows[5]}, "similarity": 0.6, "limit": 600}
+    want = {(r["seq"], round(r["score"], 6)) for r in search(ix, **ask).hits.collect()}
+    assert len(want) > 10
+
+    class Reversed:
+        """A user's own index: the vectors, asked for the other way round."""
+
+        def __init__(self, index, prop):
+            self.index, self.prop = index, prop
+
+        def near(self, value, similarity):
+            return vector_search.flat(self.index, self.prop, [-x for x in value], similarity)
+
+    for how in ({"kind": "ivf", "nlist": 12}, {"kind": "pq", "m": 4}, {"kind": "int8"}):
+        other = replace(ix, vector_indexes={"*": how})
+        assert {(r["seq"], round(r["score"], 6)) for r in search(other, **ask).hits.collect()} == want
+        made = other._fitted["v"]
+        search(other, **ask).hits.count()
+        assert other._fitted["v"] is made
+        assert vector_search.refit(other, "v") is not made
+    own = replace(ix, vector_indexes={"v": Reversed})
+    opposite = ask | {"vector": {"property": "v", "value": [-x for x in rows[5]]}}
+    assert {r["seq"] for r in search(own, **opposite).hits.collect()} == {s for s, _ in want}
+    assert code(lambda: search(replace(ix, vector_indexes={"v": "tree"}), **ask).hits) == "UNSUPPORTED_COMPONENT"
+    zero = ask | {"vector": {"property": "v", "value": [0.0] * 16}}
+    for how in ("ivf", "pq", "binary", "int8"):
+        assert search(replace(ix, vector_indexes={"v": how}), **zero).hits.count() == 0
+
+
 def test_vector_errors(clustered):
     ix, rows = clustered
     assert code(lambda: vector_search.flat(ix, "none", rows[0])) == "UNKNOWN_VECTOR_PROPERTY"
