@@ -141,3 +141,22 @@ def test_empty_collection(spark):
     ix = Index.build(spark.createDataFrame([], "seq long, text string"), {"text": "string"})
     r = search(ix, term="x", facets={"text": {}})
     assert r.count.first()[0] == 0 and r.hits.count() == 0 and r.facets["text"].count() == 0
+
+
+def test_postings_and_dictionary_need_no_shuffle_of_words(spark):
+    """Stemmed or not, a document's words are counted in its row; nothing runs before it is asked for."""
+    from sparkseek.functions.text import Analyzer
+
+    text = "Heations heation ouening heation " + " ".join(f"w{i % 7}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "an' -- 'x'")], "seq long, text string")
+    for analyzer in (Analyzer(), Analyzer(stemming=True), Analyzer(stemming=True, allow_duplicates=False), Analyzer(stemming=True, stemmer=lambda w: "" if w == "x" else w[:2])):
+        postings = Index.build(docs, {"text": "string"}, analyzer, cache=False).postings
+        assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+        want = set()
+        for seq, t in ((1, text), (4, "an' -- 'x'")):
+            words = Analyzer().tokens(t)
+            stem = analyzer.stems("text")
+            kept = [s for s in map(stem, words) if s] if stem else words
+            kept = kept if analyzer.allow_duplicates else list(dict.fromkeys(kept))
+            want |= {(w, seq, kept.count(w), len(words) if analyzer.allow_duplicates else len(kept)) for w in kept}
+        assert {tuple(r) for r in postings.select("term", "seq", "tf", "len").collect()} == want
