@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import Bm25
 from ..sources.index import Index
 from .bm25 import TextQuery, events, query_tokens, searched
-from .expand import expand
+from .expand import matched
 
 
 def suggest(index: Index, term: str, properties="*", prefix: bool | str = True, tolerance: int = 0, threshold: float = 0, boost=None, relevance: Bm25 = Bm25(), allowed: DataFrame | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
@@ -66,13 +66,10 @@ def _words(index: Index, q: TextQuery, token: str, i: int, props: list[str]) ->
     if for_check:
         return events(index, q, [token], props)
     exact = not q.prefix and not q.tolerance
-    words = expand(index, [token], props, exact, q.tolerance)
+    post = matched(index, [token], props, exact, q.tolerance, q.boost)
     if not q.prefix and q.tolerance:
-        words = words.where(F.levenshtein("term", F.lit(token), q.tolerance) >= 0)
-    facts = [(p, float(index.averages.get(p) or 1.0), float((q.boost or {}).get(p, 1))) for p in props]
-    words = words.join(F.broadcast(index.spark.createDataFrame(facts, "prop string, average double, boost double")), "prop")
+        post = post.where(F.levenshtein("term", F.lit(token), q.tolerance) >= 0)
     weight = bm25(F.col("tf"), F.col("idf"), F.col("len"), F.col("average"), q.relevance) * F.col("demotion") * F.col("boost")
-    post = index.postings.where(F.col("prop").isin(props)).join(words.select("prop", "term", "idf", "average", "demotion", "boost"), ["prop", "term"])
     # Ends above all signs, so that of two words one of which begins the other the shorter is preferred.
     inverse = F.concat(F.transform(F.split("term", ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))
     return post.select("seq", F.lit(i).alias("i"), "term", weight.alias("w"), inverse.alias("order"))

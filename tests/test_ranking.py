@@ -160,3 +160,15 @@ def test_postings_and_dictionary_need_no_shuffle_of_words(spark):
             kept = kept if analyzer.allow_duplicates else list(dict.fromkeys(kept))
             want |= {(w, seq, kept.count(w), len(words) if analyzer.allow_duplicates else len(kept)) for w in kept}
         assert {tuple(r) for r in postings.select("term", "seq", "tf", "len").collect()} == want
+
+
+def test_a_search_does_not_shuffle_postings_to_find_its_words(spark):
+    docs = spark.createDataFrame([(i, f"hean w{i}") for i in range(1, 30)], "seq long, text string")
+    ix = Index.build(docs, {"text": "string"})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        plan = ranked(ix, TextQuery("hean w"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
