@@ -110,10 +110,9 @@ def cones(rows: DataFrame, shard: str, size: int) -> DataFrame:
     The centroid is the scaled sum of the unit vectors, the angle the largest to
     it; a shard whose vectors are all zero has the widest cone.
     """
-    length = V.magnitude(F.col("v"))
-    unit = F.transform("v", lambda x: x.cast("double") / F.col("_l"))
-    units = rows.withColumn("_l", length).withColumn("u", F.when(F.col("_l") > 0, unit))
-    sums = units.groupBy(shard).agg(*[F.sum(F.get("u", i)).alias(f"s{i}") for i in range(size)], F.max((F.col("_l") == 0).cast("int")).alias("has_zero"))
+    unit = V.let(V.magnitude(F.col("v")), lambda m: F.when(m > 0, F.transform("v", lambda x: x.cast("double") / m)))
+    units = rows.select(shard, unit.alias("u"))
+    sums = units.groupBy(shard).agg(*[F.sum(F.get("u", i)).alias(f"s{i}") for i in range(size)], F.max(F.col("u").isNull().cast("int")).alias("has_zero"))
     sums = sums.select(shard, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(size)]).alias("s"), "has_zero").withColumn("_m", V.magnitude(F.col("s")))
     centres = sums.select(shard, F.transform("s", lambda x: F.when(F.col("_m") > 0, x / F.col("_m")).otherwise(0.0)).alias("centroid"), "has_zero", (F.col("_m") > 0).alias("_ok"))
     widest = units.where("u IS NOT NULL").join(F.broadcast(centres), shard).groupBy(shard).agg(F.max(F.acos(V.clamped(V.dot(F.col("u"), F.col("centroid"))))).alias("a"))

@@ -517,3 +517,21 @@ def test_rows_may_lack_properties(spark):
     db = Database.create(spark.createDataFrame([("a", "red")], "id string, text string"), {"text": "string", "title": "string", "year": "number"})
     db.insert(spark.createDataFrame([("b", 5.0)], "id string, year double"))
     assert db.count() == 2 and [h["id"] for h in db.search(term="red").hits.collect()] == ["a"]
+
+
+def test_vectors_are_measured_once_a_row_and_not_once_a_dimension(spark):
+    """256 dimensions: a length for each of them made codes of 400 vectors take minutes."""
+    import time
+
+    from sparkseek.functions import vectors as V
+
+    rows = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: F.sin(i * (F.col("id") + 1)).cast("float")).alias("a"))
+    began = time.time()
+    out = rows.select(V.normalized(F.col("a")).alias("v")).select("v", V.sign_words(F.col("v"), 256).alias("c"), V.int8_code(F.col("v")).alias("q")).collect()
+    assert time.time() - began < 60
+    for r in out[:5]:
+        bits = [sum(1 << i for i in range(64) if r["v"][w + i] > 0) for w in range(0, 256, 64)]
+        assert [c % (1 << 64) for c in r["c"]] == bits
+        low, high = min(r["v"]), max(r["v"])
+        assert r["q"]["shift"] == pytest.approx(low + 128 * (high - low) / 255, abs=1e-6) and min(r["q"]["code"]) == -128 and max(r["q"]["code"]) == 127
+    assert len(out) == 400
