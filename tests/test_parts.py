@@ -535,3 +535,17 @@ def test_vectors_are_measured_once_a_row_and_not_once_a_dimension(spark):
         low, high = min(r["v"]), max(r["v"])
         assert r["q"]["shift"] == pytest.approx(low + 128 * (high - low) / 255, abs=1e-6) and min(r["q"]["code"]) == -128 and max(r["q"]["code"]) == 127
     assert len(out) == 400
+
+
+def test_a_batch_of_pages_is_parsed_in_parts():
+    """One batch from Spark may hold 64 MB of pages."""
+    import pyarrow as pa
+
+    from sparkseek.sources import markup
+
+    pages = ["<p>" + "word " * 2_000 + "</p>"] * 200 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], names=["id", "html"])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+    out = list(markup.parsed(iter([batch, batch]), lambda page: [(len(page),)] * 3, schema))
+    assert sum(b.num_rows for b in out) == 2 * 3 * len(pages) and len(out) >= 6 and max(b.num_rows for b in out) <= 3 * 60
+    assert [r["n"] for b in out for r in b.to_pylist()][: 3 * len(pages)] == [len(p or "") for p in pages for _ in range(3)]
